@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.shipping import ship
+
 from ._common import documents, stage
 
 WEIGHTS = (5, 2, 1)  #: by rank of the source, repeating
@@ -173,6 +175,7 @@ def mix(
         .withColumn("key", F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0")), "shard"))
     )
     out = ["doc_id", "source", "size", "source_size", "target"]
+    ship(spark)
 
     @F.pandas_udf("long")
     def taken(start, size, words, quota, key):

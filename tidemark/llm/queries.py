@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, mpegts, sharding
+from . import decontamination, licenses, mixing, mpegts, sharding
 
 
 def queries() -> dict:
     return {
         "op1_transport_streams": mpegts.op1_transport_streams,
         "op2_sainte_lague_mix": mixing.op2_sainte_lague_mix,
+        "op3_wu_manber_decontamination": decontamination.op3_wu_manber_decontamination,
+        "op7_license_templates": licenses.op7_license_templates,
         "op8_prefix_sum_shards": sharding.op8_prefix_sum_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_wu_manber_decontamination": decontamination.OP3_SQL}
