@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, mpegts, sharding
+from . import decontamination, licenses, linededup, mixing, mpegts, sharding, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,16 @@ def queries() -> dict:
         "op1_transport_streams": mpegts.op1_transport_streams,
         "op2_sainte_lague_mix": mixing.op2_sainte_lague_mix,
         "op3_wu_manber_decontamination": decontamination.op3_wu_manber_decontamination,
+        "op4_line_site_spread": linededup.op4_line_site_spread,
         "op7_license_templates": licenses.op7_license_templates,
         "op8_prefix_sum_shards": sharding.op8_prefix_sum_shards,
+        "op9_warc_segments": warc.op9_warc_segments,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_wu_manber_decontamination": decontamination.OP3_SQL}
+    return {
+        "op3_wu_manber_decontamination": decontamination.OP3_SQL,
+        "op4_line_site_spread": linededup.OP4_SQL,
+        "op9_warc_segments": warc.OP9_SQL,
+    }
