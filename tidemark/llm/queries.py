@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, linededup, mixing, mpegts, pii, sharding, toxicity, warc
+from . import decontamination, jaccard, licenses, linededup, mixing, mpegts, pii, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_wu_manber_decontamination": decontamination.op3_wu_manber_decontamination,
         "op4_line_site_spread": linededup.op4_line_site_spread,
         "op5_skip_chain_pii": pii.op5_skip_chain_pii,
+        "op6_prefix_tree_join": jaccard.op6_prefix_tree_join,
         "op7_license_templates": licenses.op7_license_templates,
         "op8_prefix_sum_shards": sharding.op8_prefix_sum_shards,
         "op9_warc_segments": warc.op9_warc_segments,

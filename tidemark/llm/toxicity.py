@@ -245,7 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     )
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    sample = known.where("toxic = 1").orderBy("h").limit(EXAMPLES).unionByName(known.where("toxic = 0").orderBy("h").limit(EXAMPLES))
+    # a threshold on the hash first, so that tasks send few rows to the limit
+    drawn = lambda y: known.where((F.col("toxic") == y) & (F.pmod("h", F.lit(1 << 32)) <= int(min(2 * EXAMPLES / sizes.get(y, 1), 1) * (1 << 32))))
+    sample = drawn(1).orderBy("h").limit(EXAMPLES).unionByName(drawn(0).orderBy("h").limit(EXAMPLES))
     chosen = (
         id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # 2 x EXAMPLES rows at most
         .where(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES)
