@@ -1,4 +1,4 @@
-"""Makes this package importable in the Python workers of a session."""
+"""What a session needs on a cluster: this package in its Python workers, and a folder that all share."""
 
 from __future__ import annotations
 
@@ -25,3 +25,16 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(str(to))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``. Only
+    where it is unset (local tests) a temporary one is made and set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = path.get() if path.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
