@@ -167,6 +167,17 @@ class Model:
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in raw.items()}
 
+    def nearest(self, vector: dict[bytes, float], known: dict[tuple, list]) -> list[tuple[float, int]]:
+        """The nearest examples; ``known`` keeps those of equal vectors."""
+        if not vector:
+            return []
+        key = tuple(sorted(vector.items()))
+        if key not in known:
+            if len(known) > 20_000:
+                known.clear()
+            known[key] = self.index.nearest(vector)
+        return known[key]
+
     def raw(self, near: list[tuple[float, int]]) -> float:
         votes = [(self.weights[self.labels[i]] / (1.05 - s), self.labels[i]) for s, i in near]
         return (sum(v for v, y in votes if y) + 0.5 * self.prior) / (sum(v for v, _ in votes) + 0.5)
@@ -235,7 +246,17 @@ def select_terms(texts: list[list[bytes]], labels: list[int], weights: dict[int,
         base = total[1] * weights[1] / (total[1] * weights[1] + total[0] * weights[0])
         if (s := g2(a, b, total[1] - a, total[0] - b)) >= MIN_G2 and (lean >= 0.5 or b > a and lean <= base / 10):
             strong.append((-s, t))
-    return [t for _, t in sorted(strong)[:TERMS]]
+    # of terms that are in the very same examples, the most exact stands for all
+    where: dict[bytes, list[int]] = {t: [] for _, t in strong}
+    for i, words in enumerate(texts):
+        for t in terms_of(set(words)) & where.keys():
+            where[t].append(i)
+    exact: dict[tuple, bytes] = {}
+    for t, at in where.items():
+        held = exact.setdefault(tuple(at), t)
+        exact[tuple(at)] = max(held, t, key=lambda x: (not x.startswith(b"."), len(x), x))
+    stands = set(exact.values())
+    return [t for _, t in sorted(strong) if t in stands][:TERMS]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -325,9 +346,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def rows(batch):
         m = _held(token, shipped)
+        known: dict[tuple, list] = {}
         for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
             v = m.vector(alnum_words(text))
-            near = m.index.nearest(v) if v else []
+            near = m.nearest(v, known)
             yield key, m.score(near), [t.decode("utf-8", "replace") for t in sorted(v)], [
                 {"example": str(m.names[i]), "cosine": s, "toxic": m.labels[i]} for s, i in near
             ]
@@ -345,10 +367,11 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
         import pyarrow as pa
 
         m = _held(token, shipped)
+        known: dict[tuple, list] = {}
         for batch in batches:
             texts = utf8(batch.column(batch.schema.get_field_index("text")))
             vectors = (m.vector(alnum_words(t)) for t in texts)
-            yield batch.filter(pa.array([m.score(m.index.nearest(v) if v else []) < threshold for v in vectors], type=pa.bool_()))
+            yield batch.filter(pa.array([m.score(m.nearest(v, known)) < threshold for v in vectors], type=pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 
