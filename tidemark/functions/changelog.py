@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import BadRequest
-from tidemark.spec import TableSpec
+from tidemark.spec import TableSpec, nullable
 
 PUTS, DELETES = ("+I", "+U"), ("-D", "-U")
 
@@ -37,12 +37,13 @@ def changes(df: DataFrame, spec: TableSpec, start: int, kind_col: str | None = N
     rows = rows.withColumns({"_seq": F.monotonically_increasing_id() + F.lit(start), "_deleted": gone})
     cols = []
     for f in spec.schema.fields:
-        c = F.col(f.name).cast(f.dataType)
+        kind = nullable(f.dataType)
+        c = F.col(f.name).cast(kind)
         if f.name in spec.primary_key:
-            c = F.coalesce(c, F.raise_error(F.lit(f"null in primary key column {f.name}")).cast(f.dataType))
+            c = F.coalesce(c, F.raise_error(F.lit(f"null in primary key column {f.name}")).cast(kind))
         else:
             if not f.nullable:
-                c = F.when(F.col("_deleted") | c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"null in column {f.name}")).cast(f.dataType))
+                c = F.when(F.col("_deleted") | c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"null in column {f.name}")).cast(kind))
             c = F.when(~F.col("_deleted"), c)
         cols.append(c.alias(f.name))
     return rows.select(*cols, "_seq", "_deleted")

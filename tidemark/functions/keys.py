@@ -44,7 +44,7 @@ def encoded(c: Column, kind: T.DataType, time: bool = False, nanos: Column | Non
     Timestamps: whole milliseconds with ``millis``, else milliseconds and nanoseconds within (``nanos`` below the microsecond)."""
     if time:
         inside = (c >= 0) & (c < 86_400_000)
-        body = F.when(inside, _flipped(c, 4)).otherwise(F.raise_error(F.lit("time of day out of range")).cast("string"))
+        body = F.when(inside, F.lpad(F.hex(c.cast("long")), 8, "0")).otherwise(F.raise_error(F.lit("time of day out of range")).cast("string"))
         return F.unhex(F.concat(F.lit(TYPE_BYTES["time"]), body))
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.unhex(F.concat(F.lit(TYPE_BYTES["bytes"]), _grouped(c.cast("binary"))))

@@ -104,6 +104,8 @@ class Table:
         name = f"b-{uuid.uuid4().hex}"
         changes(df, self.spec, self.m.next_seq, kind_col, tuple(order_by)).write.parquet(self.store.at("hot", name))
         run = self._run(name, OPEN, self.m.flushes, self.m.flushes)
+        if run.rows and run.max_seq != self.m.next_seq + run.rows - 1:
+            run = self._dense(run)
         if run.rows:
             self.m.runs.append(run)
             self.m.next_seq = run.max_seq + 1
@@ -115,6 +117,22 @@ class Table:
             self.freeze()
         return self.m.next_seq - 1
 
+    def _dense(self, run: Run) -> Run:
+        """A batch of several partitions again, with contiguous sequences in the
+        same order: each partition's rows follow those of the one before."""
+        written = self._read(self.store.at("hot", run.id)).withColumn("_part", F.shiftright(F.col("_seq") - F.lit(self.m.next_seq), 33))
+        parts = written.groupBy("_part").agg(F.count("*").alias("n"), F.min("_seq").alias("a")).orderBy("_part").collect()  # a row a partition
+        moves, at = [], self.m.next_seq
+        for r in parts:
+            moves.append((r["_part"], at - r["a"]))
+            at += r["n"]
+        by = self.spark.createDataFrame(moves, "_part long, _move long")
+        name = f"b-{uuid.uuid4().hex}"
+        moved = written.join(F.broadcast(by), "_part").withColumn("_seq", F.col("_seq") + F.col("_move"))
+        moved.select(*self.spec.stored().fieldNames()).write.parquet(self.store.at("hot", name))
+        self.store.delete("hot", run.id)
+        return self._run(name, OPEN, self.m.flushes, self.m.flushes)
+
     def write_batch(self, ops: Iterable[tuple[str, Mapping]]) -> int:
         """Changes as (kind, row) in order: +I and +U put a whole row, -D and -U
         delete its key. All are checked before anything is written; sequences are contiguous."""

@@ -20,17 +20,13 @@ from tidemark.operators.table import Table
 from tidemark.plans.merge import current, latest, overlay, run_statistics, tristate
 from tidemark.shipping import shared_dir
 from tidemark.sources.json_rows import json_column
-from tidemark.spec import TableSpec
+from tidemark.spec import TableSpec, columns
 from tidemark.streaming.streams import lookup_stream, upsert_stream
 
 KEY = ["user_id"]
-EVENTS = TableSpec(
-    T.StructType.fromDDL("user_id BIGINT, event_id BIGINT, event_type STRING, value DOUBLE"), ("user_id",), buckets=4
-)
-PAIRS = TableSpec(
-    T.StructType.fromDDL("user_id BIGINT, event_type STRING, event_id BIGINT, value DOUBLE"), ("user_id", "event_type"), ("event_type",), 2
-)
-CUSTOMERS = TableSpec(T.StructType.fromDDL("c_custkey BIGINT, c_name STRING, last_status STRING, last_price DOUBLE"), ("c_custkey",))
+EVENTS = TableSpec(columns(user_id="bigint", event_id="bigint", event_type="string", value="double"), ("user_id",), buckets=4)
+PAIRS = TableSpec(columns(user_id="bigint", event_type="string", event_id="bigint", value="double"), ("user_id", "event_type"), ("event_type",), 2)
+CUSTOMERS = TableSpec(columns(c_custkey="bigint", c_name="string", last_status="string", last_price="double"), ("c_custkey",))
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -253,7 +249,7 @@ def key_order(spark, d):
 
 def json_rows(spark, d):
     """Rows as JSON: days, milliseconds and plain values."""
-    spec = TableSpec(T.StructType.fromDDL("o_orderkey BIGINT, o_orderdate TIMESTAMP_NTZ, o_orderstatus STRING"), ("o_orderkey",))
+    spec = TableSpec(columns(o_orderkey="bigint", o_orderdate="timestamp_ntz", o_orderstatus="string"), ("o_orderkey",))
     return json_column(_read(spark, d, "orders").select(*spec.columns), spec).select("o_orderkey", "json")
 
 

@@ -22,6 +22,29 @@ KEY_TYPES = (T.IntegerType, T.LongType, T.StringType, T.DateType, T.TimestampNTZ
 RESERVED = ("_seq", "_deleted", "_bucket", "_kind", "_op")
 
 
+#: Types by their SQL names, for schemas that are made before there is a session.
+NAMED = {
+    "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(),
+    "binary": T.BinaryType(), "date": T.DateType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def columns(**kinds: str) -> T.StructType:
+    """A schema from names and simple types, such as ``columns(id="bigint")``."""
+    return T.StructType([T.StructField(c, NAMED[k]) for c, k in kinds.items()])
+
+
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere inside, as files are read."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 def _check_value(kind: T.DataType, where: str) -> None:
     if isinstance(kind, T.ArrayType):
         _check_value(kind.elementType, where)
@@ -86,7 +109,7 @@ class TableSpec:
     def stored(self) -> T.StructType:
         """Schema of changelog batches and runs: deletes carry only the key."""
         key = set(self.primary_key)
-        fields = [T.StructField(f.name, f.dataType, f.name not in key) for f in self.schema.fields]
+        fields = [T.StructField(f.name, nullable(f.dataType), f.name not in key) for f in self.schema.fields]
         return T.StructType([*fields, T.StructField("_seq", T.LongType(), False), T.StructField("_deleted", T.BooleanType(), False)])
 
     def to_json(self) -> dict:
