@@ -5,11 +5,13 @@ steps, none of which loses a link:
 
 1. n-grams that repeat inside a batch anywhere are summed over all batches; a
    fixed-size table of their counts gives the global order: seldom before often,
-   long before short, then by hash.
+   long before short, then by hash (grams that share a slot count together).
 2. Documents of equal sets become one node (key: 128 bits of the set). Of each
    node the order's first n - ceil(t n) + 1 grams are its prefix: two nodes that
-   link share a gram of their prefixes. Each shared gram joins its nodes to the
-   smallest one; connected nodes are a *cell*, and links stay inside cells.
+   link share a gram of their prefixes, and their lengths are near. Each shared
+   gram joins its nodes of near lengths to the smallest one; connected nodes are
+   a *cell*, and links stay inside cells. Cells above CELL_GRAMS are cut anew
+   the same way, in the order of the frequencies inside the cell.
 3. A cell's sets go into a trie, ordered by frequency in the cell, often first,
    so that near copies share paths. A set traverses the trie level by level: a
    node adds its segment's overlap to its parent's, and subtrees are pruned when
@@ -17,8 +19,8 @@ steps, none of which loses a link:
 4. Only sets outside a cell's largest component traverse (and one inside it):
    any link between components has such an end, so components are exact and a
    group of thousands of near copies needs a few traversals, not all pairs.
-   A cell above CELL_GRAMS is cut into slices with a trie each, and rounds of
-   such sets are sent to every slice of the cell.
+   A cell that is still above CELL_GRAMS is cut into slices with a trie each,
+   and rounds of such sets are sent to every slice of the cell.
 
 Texts are never shuffled; what is: a row a prefix gram (a tenth of all at 0.9)
 and the sets of nodes that are in a cell.
@@ -36,33 +38,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
 
-from ._common import documents, id_text, space_words, stage, utf8
+from ._common import documents, id_text, stage
 from .graph import components
 
-SLOTS = 1 << 22  #: of the table of frequent grams: a byte each, shipped whole
-OFTEN = 8
+SLOTS = 1 << 24  #: of the table of frequent grams: a byte each, shipped whole (16 MB)
+OFTEN = 2
+OUTLINE = 64  #: parts of the grams, for bounds on how far sets are apart
+CLASS = 1.25  #: ratio of the lengths of a class
 CELL_GRAMS = 1 << 22  #: of a trie; larger cells are cut into slices
 PIVOTS = 256  #: sets of a cell that a round sends to its slices
 BLOOM_WORDS = 1 << 20  #: 8 MB at most
 
 
-class _Hashes(dict):
-    """64-bit hash of each word, kept while a worker lives."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -72,20 +65,102 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(text: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text (64-bit hashes, ascending) and their bytes' numbers."""
-    words = space_words(text)
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    k = min(n, len(words))
-    out, total = np.full(len(words) - k + 1, k, np.uint64), np.zeros(len(words) - k + 1, np.int64)
-    for j in range(k):
-        out = _mix(out + h[j : len(h) - k + 1 + j])
-        total += size[j : len(size) - k + 1 + j]
-    values, first = np.unique(out, return_index=True)
-    return values, total[first]
+#: ASCII in lower case; what parts words.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15  #: odd, so that its powers can be divided by
+_CHUNK = 2 << 20  #: bytes that are hashed together
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse (modulo 2**64), at least ``n`` of each."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, length in bytes and text of every word of texts that lie one after
+    another in ``data``, each from its place in ``starts`` (strictly ascending)."""
+    data = _LOWER[data]
+    word = ~_SPACE[data]
+    before = np.concatenate([[False], word[:-1]])
+    before[starts] = False
+    begin = np.flatnonzero(word & ~before)
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    after = np.concatenate([word[1:], [False]])
+    after[starts[1:] - 1] = False
+    end = np.flatnonzero(word & ~after) + 1
+    power, inverse = _powers_to(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
+    size = end - begin
+    return _mix((sums[end] - sums[begin]) * inverse[begin] + size.astype(np.uint64) * _M2), size, np.searchsorted(starts, begin, side="right") - 1
+
+
+def _cuts(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """A text in parts of about _CHUNK bytes, cut at spaces."""
+    while end - start > _CHUNK:
+        cut = start + _CHUNK
+        while cut < end and not _SPACE[data[cut]]:
+            cut += 1
+        yield start, cut
+        start = cut
+    yield start, end
+
+
+def _made(h: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Grams of k words in a row, from the words' hashes: eight bits for their
+    length in bytes, 255 less it (so that long ones come first), and a hash of 56."""
+    m = len(h) - k + 1
+    out, total = h[:m].copy(), size[:m].copy()
+    for j in range(1, k):
+        out *= _M1
+        out += h[j : m + j]
+        total += size[j : m + j]
+    out = _mix(out + np.uint64(k)) >> np.uint64(8)
+    return out | (255 - np.minimum(total, 255)).astype(np.uint64) << np.uint64(56)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def all_grams(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Distinct n-grams of each text of a string column, ascending. Words are
+    ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than n are one gram; null is empty."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _CHUNK, side="right")) - 1)
+        if ends[j] - ends[i] > _CHUNK:  # a long text, alone
+            parts = [_word_hashes(data[a:b], np.zeros(1, np.int64)) for a, b in _cuts(data, int(ends[i]), int(ends[j]))]
+            h, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            counts = np.array([len(h)])
+        else:
+            at = ends[i:j] - ends[i]
+            full = np.flatnonzero(ends[i + 1 : j + 1] > ends[i:j])  # texts with bytes, whose starts differ
+            counts = np.zeros(j - i, np.int64)
+            h, size = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if len(full):
+                h, size, text = _word_hashes(data[ends[i] : ends[j]], at[full])
+                counts[full] = np.bincount(text, minlength=len(full))
+        made = _made(h, size, n) if len(h) >= n else np.zeros(0, np.uint64)
+        first = 0
+        for c in counts.tolist():
+            yield _distinct(made[first : first + c - n + 1] if c >= n else _made(h[first : first + c], size[first : first + c], c) if c else made[:0])
+            first += c
+        i = j
 
 
 def set_key(values: np.ndarray) -> tuple[int, int]:
@@ -101,22 +176,63 @@ def _map(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def often(docs: DataFrame, n: int) -> np.ndarray:
-    """The table of frequent grams: log2 of a slot's greatest count, 0 if below OFTEN."""
+    """The table of grams that several texts of a batch share: counts of all batches, by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [grams(t, n)[0] for t in utf8(batch.column(1))]
+            texts = batch.column(1)
+            once = pc.unique(texts)  # copies say nothing about how many texts share a gram
+            own = list(all_grams(once, n))
             values, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64),) * 2
             again = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(values[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["gram", "n"])
 
-    counted = _map(docs, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    slots = counted.groupBy(F.pmod("gram", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.max(F.floor(F.log2("n"))).cast("byte").alias("c")).toArrow()
+    return _table(_map(docs, run, "gram long, n long"))
+
+
+_shared: dict[str, object] = {}
+
+
+def _value(token: str, held) -> object:
+    if token not in _shared:
+        if len(_shared) > 3:
+            _shared.clear()
+        _shared[token] = held.value
+    return _shared[token]
+
+
+def _first(values: np.ndarray, hot: np.ndarray, p: int) -> np.ndarray:
+    """The first p of ascending grams in the order seldom before often, then as they are."""
+    often_ = hot[(values & np.uint64(len(hot) - 1)).astype(np.int64)]
+    seldom = values[often_ == 0]
+    return seldom[:p] if len(seldom) >= p else values[np.argsort(often_, kind="stable")[:p]]
+
+
+def _table(counted: DataFrame) -> np.ndarray:
+    """A byte for each slot: log2 of what its grams count (column n), 0 below OFTEN."""
+    by_slot = counted.groupBy(F.expr(f"cast(gram & {SLOTS - 1} AS int)").alias("slot")).agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    slots = by_slot.select("slot", F.floor(F.log2("n")).cast("byte").alias("c")).toArrow()  # SLOTS rows of five bytes at most
     out = np.zeros(SLOTS, np.uint8)
     out[slots.column("slot").to_numpy()] = slots.column("c").to_numpy()
     return out
 
 
+def often(docs: DataFrame, n: int) -> np.ndarray:
+    """The table of grams that several texts of a batch share: counts of all batches, by slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            once = pc.unique(texts)  # copies say nothing about how many texts share a gram
+            own = list(all_grams(once, n))
+            values, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64),) * 2
+            again = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["gram", "n"])
+
+    counted = _map(docs, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _table(counted.where(F.col("n") >= OFTEN))
+
+
 _shared: dict[str, object] = {}
 
 
@@ -128,9 +244,19 @@ def _value(token: str, held) -> object:
     return _shared[token]
 
 
-def need(a: int, b: int, num: int, den: int) -> int:
-    """Least overlap of two sets that link."""
-    return -(-num * (a + b) // (num + den))
+def _first(values: np.ndarray, hot: np.ndarray, p: int) -> np.ndarray:
+    """The first p of ascending grams in the order seldom before often, then as they are."""
+    often_ = hot[(values & np.uint64(len(hot) - 1)).astype(np.int64)]
+    seldom = values[often_ == 0]
+    return seldom[:p] if len(seldom) >= p else values[np.argsort(often_, kind="stable")[:p]]
+
+
+def _table(counted: DataFrame) -> np.ndarray:
+    """A byte for each slot: log2 of the greatest count (column n) of its grams, 0 if there is none."""
+    slots = counted.groupBy(F.expr(f"cast(gram & {SLOTS - 1} AS int)").alias("slot")).agg(F.max(F.floor(F.log2("n"))).cast("byte").alias("c")).toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[slots.column("slot").to_numpy()] = slots.column("c").to_numpy()
+    return out
 
 
 def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -142,24 +268,24 @@ def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _value(token, held)
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
-            for text in utf8(batch.column(1)):
-                values, size = grams(text, n)
+            keys, sizes, prefixes, outlines = [], [], [], []
+            for values in all_grams(batch.column(1), n):
                 m = len(values)
                 keys.append(set_key(values))
                 sizes.append(m)
                 p = m - -(-num * m // den) + 1 if m else 0
-                rank = (hot[(values & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64) << 40) - np.minimum(size, 1 << 30)
-                prefixes.append(values[np.lexsort((values, rank))[:p]].view(np.int64))
+                prefixes.append(_first(values, hot, p).view(np.int64))
+                outlines.append(np.minimum(np.bincount((values >> np.uint64(24)).astype(np.int64) % OUTLINE, minlength=OUTLINE), 32_000).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(2), batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(outlines) + 1) * OUTLINE, pa.int32()), pa.array(np.concatenate(outlines) if outlines else np.zeros(0, np.int16))),
                 ],
-                names=["place", "doc_id", "n_shingles", "k1", "k2", "prefix"],
+                names=["place", "doc_id", "n_shingles", "k1", "k2", "prefix", "outline"],
             )
 
-    return stage(_map(docs.withColumn("place", F.monotonically_increasing_id()), run, f"place long, doc_id {kind}, n_shingles long, k1 long, k2 long, prefix array<long>"), "keyed")
+    return stage(_map(docs.withColumn("place", F.monotonically_increasing_id()), run, f"place long, doc_id {kind}, n_shingles long, k1 long, k2 long, prefix array<long>, outline array<smallint>"), "keyed")
 
 
 class Trie:
@@ -168,6 +294,7 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray], ranks: int):
         self.sets, self.ranks = sets, ranks
+        self.inside = np.zeros(ranks, np.int8)  # marks the query's grams while it traverses
         encoded = [s.astype(">u4").tobytes() for s in sets]
         order = sorted(range(len(sets)), key=encoded.__getitem__)
         depth, parent, start, leaf = [0], [-1], [0], [-1]  # start: where the segment begins in a set of the subtree
@@ -237,10 +364,8 @@ class Trie:
     def linked(self, query: np.ndarray, num: int, den: int) -> np.ndarray:
         """Which sets link with ``query``, an ascending array of ranks (those at
         ``ranks`` or above are in no set here)."""
-        inside = np.zeros(self.ranks + 1, np.int64)
-        inside[np.minimum(query, self.ranks)] = 1
-        inside[self.ranks] = 0
-        upto = np.searchsorted(query, np.arange(self.ranks + 1), side="right")  # of the query's grams, how many are not above a rank
+        inside, mine = self.inside, query[query < self.ranks]
+        inside[mine] = 1
         n = len(query)
         found = []
         nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -254,11 +379,11 @@ class Trie:
             a, b = self.offset[kids], self.offset[kids + 1]
             size = b - a
             pick = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-            got = np.concatenate([[0], np.cumsum(inside[self.tokens[pick]])])
+            got = np.concatenate([[0], np.cumsum(inside[self.tokens[pick]], dtype=np.int64)])
             ends = np.cumsum(size)
             have = have + got[ends] - got[ends - size]
             depth, last = self.depth[kids], self.last[kids]
-            rest = n - upto[last]  # of the query, beyond the path
+            rest = n - np.searchsorted(query, last, side="right")  # of the query, beyond the path
             # the length below at which the bound on the overlap is best against what it must reach
             best = np.clip(depth + rest, self.least[kids], self.most[kids])
             fits = (den + num) * (have + np.minimum(rest, best - depth)) >= num * (n + best)
@@ -267,6 +392,7 @@ class Trie:
             ok = done & ((den + num) * have >= num * (n + self.depth[kids]))
             found.append(self.leaf[kids[ok]])
             nodes, overlap = kids, have  # a set may begin another one
+        inside[mine] = 0
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
@@ -290,42 +416,52 @@ class _Union:
 
 
 def ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The sets in their common order (often first), its grams ascending with their ranks, and a mean frequency a set."""
+    """The sets in their common order (often first): as ascending ranks; the
+    rank of each gram, grams ascending; how many sets have the gram of each rank."""
     values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
     rank = np.empty(len(values), np.int64)
     rank[order] = np.arange(len(values))
-    out, mean, at = [], [], 0
-    for s in sets:
-        own = place[at : at + len(s)]
-        out.append(np.sort(rank[own]))
-        mean.append(counts[own].mean())
-        at += len(s)
-    return out, rank, np.array(mean)
+    ends = np.cumsum([len(s) for s in sets])
+    return [np.sort(rank[own]) for own in np.split(place, ends[:-1])], rank, counts[order]
 
 
 def cell_components(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """The component of each set, as the place of one of its members: exact
     (step 4 of the module)."""
-    union = _Union(len(sets))
-    if len(sets) > 1:
-        own, rank, mean = ranked(sets)
-        trie = Trie(own, len(rank))
-        todo, largest = np.argsort(-mean, kind="stable").tolist(), None
-        while todo:  # ends when all that have not traversed are in one component
-            rest = []
-            for i in todo:
-                if largest is not None and union.find(i) == union.find(largest):
-                    rest.append(i)
-                    continue
-                for j in trie.linked(own[i], num, den):
-                    union.join(i, int(j))
-                if largest is None or union.size[union.find(i)] > union.size[union.find(largest)]:
-                    largest = i
-            todo = [i for i in rest if union.find(i) != union.find(largest)]
+    union, near = _Union(len(sets)), _Union(len(sets))
+    own, _, counts = ranked(sets)
+    first: dict[int, int] = {}
+    for i, s in enumerate(own):  # what is seldom in the cell comes last in a set: its prefix for links
+        for g in s[-(len(s) - -(-num * len(s) // den) + 1) :]:
+            if counts[g] > 1:
+                near.join(first.setdefault(int(g), i), i)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(sets)):
+        groups.setdefault(near.find(i), []).append(i)
+    for group in groups.values():
+        if len(group) > 1:
+            _traverse(group, own, counts, union, num, den)
     return [union.find(i) for i in range(len(sets))]
 
 
+def _traverse(group: list[int], own: list[np.ndarray], counts: np.ndarray, union: _Union, num: int, den: int) -> None:
+    """Join what links in a group of sets, as far as components need it."""
+    trie = Trie([own[i] for i in group], len(counts))
+    todo, largest = sorted(group, key=lambda i: -counts[own[i]].mean()), None
+    while todo:  # ends when all that have not traversed are in one component
+        rest = []
+        for i in todo:
+            if largest is not None and union.find(i) == union.find(largest):
+                rest.append(i)
+                continue
+            for j in trie.linked(own[i], num, den):
+                union.join(i, group[j])
+            if largest is None or union.size[union.find(i)] > union.size[union.find(largest)]:
+                largest = i
+        todo = [i for i in rest if union.find(i) != union.find(largest)]
+
+
 def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """k1, k2 and grams of the rows whose set may be in ``wanted`` (k1): a Bloom
     filter of bounded size passes over most others; a batch gives a set once."""
@@ -343,8 +479,7 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
         bits = _value(token, held).view(np.uint64)
         for batch in batches:
             seen, out = set(), []
-            for text in utf8(batch.column(1)):
-                values, _ = grams(text, n)
+            for values in all_grams(batch.column(1), n):
                 if not len(values):
                     continue
                 k = set_key(values)
@@ -384,19 +519,76 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield now, held
 
 
+def _cells(prefixes: DataFrame, outlines: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, cell) of the nodes that share a prefix gram with a node of a
+    length that could link: a node is in the class of its length (powers of CLASS)
+    and in those of the greater lengths that it can link with. ``outlines`` has
+    how many grams of a set are in each of OUTLINE parts of all grams: two sets
+    differ in at least as many grams as their outlines do."""
+    of = lambda c: F.floor(F.log(c) / F.log(F.lit(CLASS)))
+    longest = F.floor(F.col("n_shingles") * den / num)
+    spots = F.explode(F.sequence(of(F.col("n_shingles")), of(longest)))
+    tokens = prefixes.select("a", "prefix", spots.alias("c")).select("a", "c", F.explode("prefix").alias("g")).select("a", F.xxhash64("g", "c").alias("gram"))
+    # of two nodes that share a gram with each other alone, the outlines tell whether they may link;
+    # in a group of more, each is joined to the smallest, and outlines could not tell about the others
+    tokens = tokens.repartition(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")  # one exchange for both
+    met = tokens.groupBy("gram").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("c")).where("b < top")
+    links = tokens.join(met.select("gram", "b", "c"), "gram").where("a != b").groupBy("a", "b").agg(F.max("c").alias("c"))
+    own = lambda x: outlines.select(F.col("a").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("outline").alias(f"o_{x}"))
+    pairs = links.where("c = 2").join(own("a"), "a").join(own("b"), "b")
+    apart = F.aggregate(F.zip_with("o_a", "o_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
+    links = links.where("c > 2").select("a", "b").unionByName(pairs.where(apart <= most).select("a", "b"))
+    return stage(components(links, "cell"), "cells")
+
+
+def _placed(nodes: DataFrame, cell_grams: int) -> DataFrame:
+    """Nodes with the slices of their cell and their own."""
+    sums = nodes.groupBy("cell").agg(F.sum("n_shingles").alias("total"))
+    slices = F.ceil(F.col("total") / F.lit(cell_grams)).cast("long")
+    return stage(nodes.join(sums.select("cell", slices.alias("slices")), "cell").withColumn("slice", F.pmod(F.xxhash64("node"), "slices")), "placed")
+
+
+def _seldom(inside: DataFrame, num: int, den: int) -> DataFrame:
+    """a, n_shingles and prefix of the nodes ``inside`` large cells (a set that
+    comes more than once counts more than once, which only moves the order), by an order that puts grams first which only one of them has."""
+    spark = inside.sparkSession
+    each = inside.select(F.explode("grams").alias("gram"))
+    table = _table(each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    held, token = spark.sparkContext.broadcast(table), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _value(token, held)
+        for batch in batches:
+            c = batch.column(2)
+            ends, flat = c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)
+            prefixes = []
+            for i in range(batch.num_rows):
+                values = flat[ends[i] : ends[i + 1]]
+                prefixes.append(_first(values, hot, len(values) - -(-num * len(values) // den) + 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))],
+                names=["a", "n_shingles", "prefix"],
+            )
+
+    return _map(inside, run, "a long, n_shingles long, prefix array<long>")
+
+
 def nodes_and_components(docs: DataFrame, n: int, num: int, den: int, cell_grams: int = CELL_GRAMS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """The keyed rows, and (k1, k2, place, component) of every node: place is its
     first row's, component the smallest place that it reaches."""
     rows = keyed(docs, n, num, den)
     nodes = stage(rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("place").alias("place")), "nodes")
     first = rows.select("place", "n_shingles", "prefix").join(nodes.select("place"), "place", "left_semi")
-    tokens = first.select(F.explode("prefix").alias("gram"), F.col("place").alias("a"))
-    met = tokens.groupBy("gram").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b < top").select("gram", "b")
-    cells = stage(components(tokens.join(met, "gram").where("a != b").select("a", "b"), "cell"), "cells")
-    placed = cells.join(rows.select(F.col("place").alias("node"), "n_shingles", "k1", "k2"), "node")
-    sums = placed.groupBy("cell").agg(F.sum("n_shingles").alias("total"))
-    slices = F.ceil(F.col("total") / F.lit(cell_grams)).cast("long")
-    placed = stage(placed.join(sums.select("cell", slices.alias("slices")), "cell").withColumn("slice", F.pmod(F.xxhash64("node"), "slices")), "placed")
+    outlines = rows.select(F.col("place").alias("a"), "n_shingles", "outline")
+    cells = _cells(first.select(F.col("place").alias("a"), "n_shingles", "prefix"), outlines, num, den)
+    placed = _placed(cells.join(rows.select(F.col("place").alias("node"), "n_shingles", "k1", "k2"), "node"), cell_grams)
+    broad = placed.where("slices > 1")
+    if broad.limit(1).count():
+        # large cells are cut anew by the frequencies of their own grams; nodes that meet no other leave
+        inside = stage(_sets(docs, n, broad.select("k1")).join(broad.select("k1", "k2", "node", "n_shingles"), ["k1", "k2"]).select("node", "n_shingles", "grams"), "inside")
+        finer = _cells(_seldom(inside, num, den), outlines, num, den)
+        placed = stage(placed.where("slices = 1").unionByName(_placed(finer.join(broad.select("node", "n_shingles", "k1", "k2"), "node"), cell_grams)), "placed")
     members = (
         _sets(docs, n, placed.select("k1")).join(placed.select("k1", "k2", "node", "cell", "slices", "slice"), ["k1", "k2"])
         .select("cell", "slice", "node", "slices", "grams")
