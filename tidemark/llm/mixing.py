@@ -191,7 +191,7 @@ def copies(df: DataFrame, seed: int = SEED) -> DataFrame:
     make whole documents, a rest by a seeded draw. Documents without words stay
     once. Rows keep the columns of ``df``; needs doc_id, text and source."""
     got = mix(df, seed=seed).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"))
-    rate = F.col("taken") / (F.col("size") * F.col("n"))
+    rate = F.when(F.col("size") > 0, F.col("taken") / (F.greatest("size", F.lit(1)) * F.col("n"))).otherwise(F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("k_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     got = got.select(F.col("doc_id").alias("k_id"), F.col("size").alias("k_size"), rate.alias("rate"))
     times = F.when(F.col("k_size") == 0, 1).otherwise(F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
