@@ -151,7 +151,7 @@ def skips(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out = set()
     for i, (a, b) in enumerate(tokens):
         for k in keys(text[a:b]):
-            if k in last and last[k] != i - 1:
+            if k in last and not (last[k] == i - 1 and adjacent(text, tokens, i - 1)):  # neighbours have an edge already
                 out.add((last[k], i))
             last[k] = i
     return sorted(out)
