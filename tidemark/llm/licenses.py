@@ -169,3 +169,22 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))).alias("score"),
         F.size("blocks").cast("long").alias("n_blocks"),
     )
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT label, list_distinct(string_split(words, ' ')) AS t FROM (VALUES %s) v(label, words)),
+p AS (SELECT doc_id, CASE WHEN w[i + 1:i + 2] = ['mit', 'license'] THEN 'mit' WHEN w[i + 1:i + 2] = ['apache', 'license'] THEN 'apache'
+                          WHEN w[i + 1:i + 3] = ['general', 'public', 'license'] THEN 'gpl' END AS label, i
+      FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)),
+b AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list_sort(list(DISTINCT label)) AS ls FROM p WHERE label IS NOT NULL GROUP BY doc_id),
+k AS (SELECT doc_id, label, len(list_intersect(list_distinct(x), t)) AS o, len(t) AS m
+      FROM (SELECT doc_id, w[i + 1:i + 256] AS x FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 128), 128)) AS i FROM d)), q),
+m AS (SELECT doc_id, count(*) AS n, max(o / m) AS c, list(DISTINCT label) AS ls FROM k WHERE o >= m * 0.8 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, b.a AS first_word, b.z AS last_word,
+       coalesce(array_to_string(b.ls, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(coalesce(b.ls, []) || coalesce(m.ls, []))), ',') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(m.c, 0.0) END::DOUBLE AS score, CAST(coalesce(m.n, 0) AS BIGINT) AS n_blocks
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+""" % ", ".join(f"('{k}', '{' '.join(w.decode() for w in alnum_words(t.encode()))}')" for k, t in TEMPLATES.items())

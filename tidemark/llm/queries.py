@@ -24,5 +24,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_wu_manber_decontamination": decontamination.OP3_SQL,
         "op4_line_site_spread": linededup.OP4_SQL,
+        "op6_prefix_tree_join": jaccard.OP6_SQL,
+        "op7_license_templates": licenses.OP7_SQL,
+        "op8_prefix_sum_shards": sharding.OP8_SQL,
         "op9_warc_segments": warc.OP9_SQL,
     }

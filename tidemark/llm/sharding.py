@@ -76,11 +76,18 @@ def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH s AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents),
-l AS (SELECT doc_id, size, t, row_number() OVER (ORDER BY doc_id) - 1 AS r,
-             sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM s),
-c AS (SELECT doc_id, size, r, CAST(least(((2 * upto - size) * 16) // (2 * total), 15) AS INTEGER) AS shard FROM l)
-SELECT doc_id, size, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot, 'bytes' AS law,
+WITH table_ AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([CAST(i AS BIGINT)] || list_transform(range(8), lambda x: CAST(x AS BIGINT)),
+                        lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i))),
+s AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+        xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda p: CAST(('0x' || p) AS BIGINT)),
+                        lambda a, b: xor(a >> 8, tab[CAST((xor(a, b) & 255) + 1 AS INTEGER)])), 4294967295) AS text_crc32
+      FROM documents, table_),
+l AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id, text_crc32, size) - 1 AS r,
+             sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM s),
+c AS (SELECT doc_id, size, text_crc32, r, CAST(least(((2 * upto - size) * 16) // (2 * total), 15) AS INTEGER) AS shard FROM l)
+SELECT doc_id, size, text_crc32, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot, 'bytes' AS law,
        CAST(NULL AS INTEGER) AS grown_shard
 FROM c
 """
