@@ -151,6 +151,8 @@ def test_partitions_and_buckets(make):
     t.evict()
     assert len(t.m.base) == 4
     assert lookup.get(t, {"region": 2, "order_id": 7}).amount == 14 and lookup.get(t, {"region": 1, "order_id": 7}, ["amount"]) == (7,)
+    assert len(t.cells_below({"region": 1})) == 2 and t.cells_below({}) is None
+    assert [r.order_id for r in lookup.prefix(t, {"region": 2})] == list(range(20))
     before = dict(t.m.base)
     t.put(region=1, order_id=3, amount=-1)
     t.sink_all()

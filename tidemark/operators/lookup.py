@@ -71,7 +71,7 @@ def prefix_local(t: Table, key: Mapping, limit: int | None = None) -> list[Row]:
 def prefix(t: Table, key: Mapping, limit: int | None = None, columns: Iterable[str] | None = None) -> list[Row]:
     """The same over all tiers."""
     own = _projected(t, columns)
-    df = t.current(dict.fromkeys([*t.spec.primary_key, *own]), key_predicate(t.spec, key, whole=False))
+    df = t.current(dict.fromkeys([*t.spec.primary_key, *own]), key_predicate(t.spec, key, whole=False), t.cells_below(key))
     return _bounded(t, df, limit, own)
 
 

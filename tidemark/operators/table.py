@@ -216,9 +216,22 @@ class Table:
         row = self.spark.range(1).select(*(F.lit(key[c]).cast(kinds[c]).alias(c) for c in self.spec.primary_key))
         return row.select(self._cell()).first()[0]
 
-    def _cell(self) -> Column:
+    def cells_below(self, key: Mapping) -> list[str] | None:
+        """Cells of the base that rows with these leading key values can be in:
+        those of one partition if the values fix it, else None (all)."""
+        if not self.spec.partition_by or not set(self.spec.partition_by) <= set(key):
+            return None
+        kinds = {f.name: f.dataType for f in self.spec.schema.fields}
+        row = self.spark.range(1).select(*(F.lit(key[c]).cast(kinds[c]).alias(c) for c in self.spec.partition_by))
+        part = row.select(self._partition()).first()[0]
+        return [c for c in self.m.base if c.rpartition("/")[0] == part]
+
+    def _partition(self) -> Column:
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.spec.partition_by]
-        return F.concat_ws("/", F.to_json(F.array(*parts)) if parts else F.lit("[]"), self.spec.bucket().cast("string"))
+        return F.to_json(F.array(*parts)) if parts else F.lit("[]")
+
+    def _cell(self) -> Column:
+        return F.concat_ws("/", self._partition(), self.spec.bucket().cast("string"))
 
     def touch(self, cells: Iterable[str]) -> None:
         """Count reads of base cells; those read often are kept in memory, up to
