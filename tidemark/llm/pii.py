@@ -39,6 +39,7 @@ SAMPLE_DOCS = 600
 DRAWN = 20_000  #: documents that the sample is drawn from, so that few reach the driver
 SAMPLE_CHARS = 50_000  #: longer documents are not trained on
 MAX_FEATURES = 512
+AGREE = 2  #: pairs that skip edges of each label count before training
 MIN_BELIEF = 0.8  #: of a label, for a span that the field adds
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -273,14 +274,19 @@ class Field:
 
 
 def _lift(pairs: list[tuple[int, int]], both: bool) -> np.ndarray:
-    """Log of how much more often two labels meet than by chance."""
+    """Log of how much more often two labels meet than by chance. Skip edges
+    (``both`` ways) begin with the belief that they agree, counted as AGREE pairs a label."""
     n = np.full((len(LABELS),) * 2, 0.5)
+    if both:
+        n += AGREE * np.eye(len(LABELS))
+    elif not pairs:
+        return np.zeros_like(n)
     for a, b in pairs:
         n[a, b] += 1
         if both:
             n[b, a] += 1
     p = n / n.sum()
-    return np.clip(np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True))), -3, 3) if pairs else np.zeros_like(n)
+    return np.clip(np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True))), -3, 3)
 
 
 def token_labels(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
