@@ -5,8 +5,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import types as T
 
-from tidemark.errors import BadRequest
+from tidemark.errors import BadRequest, NotSupported
 from tidemark.operators.table import Table
+from tidemark.sources import datasource
 from tidemark.sources.datasource import register
 from tidemark.sources.json_rows import from_json, to_json
 from tidemark.spec import TableSpec, columns
@@ -31,7 +32,7 @@ def test_json_values(spark):
             from_json(spec, bad)
 
 
-def test_data_source(spark, tmp_path):
+def test_data_source(spark, tmp_path, monkeypatch):
     register(spark)
     t = Table.create(spark, f"{tmp_path}/t", SPEC)
     t.write_batch([("+I", {"id": i, "marker": f"b{i}"}) for i in range(6)])
@@ -43,6 +44,9 @@ def test_data_source(spark, tmp_path):
     want = [(0, "b0"), (1, "hot"), (3, "b3"), (4, "b4"), (5, "b5"), (9, "new")]
     assert rows(df) == want == rows(Table.open(spark, f"{tmp_path}/t").current())
     assert rows(df.where("id = 1")) == [(1, "hot")] and rows(df.where("id = 2")) == [] and rows(df.where("id = 3").select("marker")) == [("b3",)]
+    monkeypatch.setattr(datasource, "MAX_HOT_ROWS", 2)
+    with pytest.raises(NotSupported):
+        datasource.TidemarkReader(f"{tmp_path}/t", SPEC).partitions()
     with pytest.raises(Exception, match="append"):
         new.drop("k").write.format("tidemark").mode("overwrite").save(f"{tmp_path}/t")
     with pytest.raises(Exception, match="exactly the columns"):

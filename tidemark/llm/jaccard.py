@@ -50,10 +50,11 @@ from .graph import components
 SLOTS = 1 << 24  #: of the table of frequent grams: a byte each, shipped whole (16 MB)
 OFTEN = 2
 OUTLINE = 64  #: parts of the grams, for bounds on how far sets are apart
-CLASS = 1.25  #: ratio of the lengths of a class
+CLASS = 1.5  #: ratio of the lengths of a class
 CELL_GRAMS = 1 << 22  #: of a trie; larger cells are cut into slices
 PIVOTS = 256  #: sets of a cell that a round sends to its slices
 BLOOM_WORDS = 1 << 20  #: 8 MB at most
+BROADCAST_BYTES = 64 << 20  #: up to this size (64 bytes a row) nodes are shipped to the sets, beyond it joined by a shuffle
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -70,7 +71,8 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15  #: odd, so that its powers can be divided by
-_CHUNK = 2 << 20  #: bytes that are hashed together
+_CHUNK = 256 << 10  #: bytes that are hashed together
+COUNTED = 4 << 20  #: grams that are looked at together for repeats
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -178,14 +180,23 @@ def _map(df: DataFrame, run, schema: str) -> DataFrame:
 def often(docs: DataFrame, n: int) -> np.ndarray:
     """The table of grams that several texts of a batch share: counts of all batches, by slot."""
 
+    def repeats(own: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(own), return_counts=True)
+        again = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(values[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            once = pc.unique(texts)  # copies say nothing about how many texts share a gram
-            own = list(all_grams(once, n))
-            values, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64),) * 2
-            again = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["gram", "n"])
+            own: list[np.ndarray] = []
+            held = 0
+            for values in all_grams(pc.unique(batch.column(1)), n):  # copies say nothing about how many texts share a gram
+                own.append(values)
+                held += len(values)
+                if held >= COUNTED:
+                    yield repeats(own)
+                    own, held = [], 0
+            if own:
+                yield repeats(own)
 
     return _table(_map(docs, run, "gram long, n long"))
 
@@ -269,23 +280,36 @@ def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         hot = _value(token, held)
         for batch in batches:
             keys, sizes, prefixes, outlines = [], [], [], []
+            seen = set()
             for values in all_grams(batch.column(1), n):
                 m = len(values)
                 keys.append(set_key(values))
                 sizes.append(m)
-                p = m - -(-num * m // den) + 1 if m else 0
-                prefixes.append(_first(values, hot, p).view(np.int64))
+                if not m or keys[-1] in seen:  # a copy in a batch needs no prefix of its own
+                    prefixes.append(None)
+                    outlines.append(None)
+                    continue
+                seen.add(keys[-1])
+                prefixes.append(_first(values, hot, m - -(-num * m // den) + 1).view(np.int64))
                 outlines.append(np.minimum(np.bincount((values >> np.uint64(24)).astype(np.int64) % OUTLINE, minlength=OUTLINE), 32_000).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(2), batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(outlines) + 1) * OUTLINE, pa.int32()), pa.array(np.concatenate(outlines) if outlines else np.zeros(0, np.int16))),
+                    _lists(prefixes, np.int64), _lists(outlines, np.int16),
                 ],
                 names=["place", "doc_id", "n_shingles", "k1", "k2", "prefix", "outline"],
             )
 
-    return stage(_map(docs.withColumn("place", F.monotonically_increasing_id()), run, f"place long, doc_id {kind}, n_shingles long, k1 long, k2 long, prefix array<long>, outline array<smallint>"), "keyed")
+    schema = f"place long, doc_id {kind}, n_shingles long, k1 long, k2 long, prefix array<long>, outline array<smallint>"
+    return stage(_map(docs.withColumn("place", F.monotonically_increasing_id()), run, schema), "keyed")
+
+
+def _lists(values: list[np.ndarray | None], kind: type) -> pa.Array:
+    """A list column of arrays; None is null."""
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in values)])
+    full = [v for v in values if v is not None]
+    mask = pa.array([v is None for v in values], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(full) if full else np.zeros(0, kind)), mask=mask)
 
 
 class Trie:
@@ -478,7 +502,9 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _value(token, held).view(np.uint64)
         for batch in batches:
-            seen, out = set(), []
+            seen: set[tuple[int, int]] = set()
+            out: list[tuple[tuple[int, int], np.ndarray]] = []
+            held_grams = 0
             for values in all_grams(batch.column(1), n):
                 if not len(values):
                     continue
@@ -489,41 +515,48 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 h = k[0] & 0xFFFFFFFFFFFFFFFF
                 if all(int(bits[(x >> 6) % BLOOM_WORDS]) >> (x & 63) & 1 for x in (h, h >> 29)):
                     out.append((k, values.view(np.int64)))
-            for at in range(0, len(out), 512):
-                part = out[at : at + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v) for _, v in part)]), pa.int32()), pa.array(np.concatenate([v for _, v in part]))),
-                    ],
-                    names=["k1", "k2", "grams"],
-                )
+                    held_grams += len(values)
+                if held_grams > 1 << 19:
+                    yield told(out)
+                    out, held_grams = [], 0
+            if out:
+                yield told(out)
+
+    def told(out: list[tuple[tuple[int, int], np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k, _ in out], pa.int64()), pa.array([k[1] for k, _ in out], pa.int64()), _lists([v for _, v in out], np.int64)], names=["k1", "k2", "grams"]
+        )
 
     return _map(docs, run, "k1 long, k2 long, grams array<long>")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of sorted batches by their first ``keys`` columns: the rest, with lists as arrays."""
-    now, held = None, []
+    """Rows of sorted batches by their first ``keys`` columns: the rest, with
+    lists as arrays. A row that repeats the one before it, lists aside, is left out."""
+    now, held, before = None, [], None
     for batch in batches:
         cols = [c.to_pylist() if not pa.types.is_list(c.type) else None for c in batch.columns]
         arrays = {i: (c.offsets.to_numpy(), c.values.to_numpy()) for i, c in enumerate(batch.columns) if pa.types.is_list(c.type)}
         for r in range(batch.num_rows):
-            key = tuple(cols[i][r] for i in range(keys))
+            key, plain = tuple(cols[i][r] for i in range(keys)), tuple(c[r] for c in cols if c is not None)
             if key != now:
                 if held:
                     yield now, held
                 now, held = key, []
-            held.append(tuple(arrays[i][1][arrays[i][0][r] : arrays[i][0][r + 1]].view(np.uint64) if i in arrays else cols[i][r] for i in range(keys, len(cols))))
+            elif plain == before:
+                continue
+            before = plain
+            held.append(tuple(arrays[i][1][arrays[i][0][r] : arrays[i][0][r + 1]].view(np.uint64).copy() if i in arrays else cols[i][r] for i in range(keys, len(cols))))
     if held:
         yield now, held
 
 
-def _cells(prefixes: DataFrame, outlines: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, cell) of the nodes that share a prefix gram with a node of a
+def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(k1, cell) of the nodes that share a prefix gram with a node of a
     length that could link: a node is in the class of its length (powers of CLASS)
-    and in those of the greater lengths that it can link with. ``outlines`` has
-    how many grams of a set are in each of OUTLINE parts of all grams: two sets
+    and in those of the greater lengths that it can link with. Nodes go by half of
+    their key here; two that had the same half would only be in one cell. An outline
+    has how many grams of a set are in each of OUTLINE parts of all grams: two sets
     differ in at least as many grams as their outlines do."""
     of = lambda c: F.floor(F.log(c) / F.log(F.lit(CLASS)))
     longest = F.floor(F.col("n_shingles") * den / num)
@@ -534,12 +567,12 @@ def _cells(prefixes: DataFrame, outlines: DataFrame, num: int, den: int) -> Data
     tokens = tokens.repartition(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")  # one exchange for both
     met = tokens.groupBy("gram").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("c")).where("b < top")
     links = tokens.join(met.select("gram", "b", "c"), "gram").where("a != b").groupBy("a", "b").agg(F.max("c").alias("c"))
-    own = lambda x: outlines.select(F.col("a").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("outline").alias(f"o_{x}"))
+    own = lambda x: nodes.select(F.col("k1").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("outline").alias(f"o_{x}"))
     pairs = links.where("c = 2").join(own("a"), "a").join(own("b"), "b")
     apart = F.aggregate(F.zip_with("o_a", "o_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
     most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
     links = links.where("c > 2").select("a", "b").unionByName(pairs.where(apart <= most).select("a", "b"))
-    return stage(components(links, "cell"), "cells")
+    return stage(components(links, "cell"), "cells").withColumnRenamed("node", "k1")
 
 
 def _placed(nodes: DataFrame, cell_grams: int) -> DataFrame:
@@ -575,24 +608,23 @@ def _seldom(inside: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def nodes_and_components(docs: DataFrame, n: int, num: int, den: int, cell_grams: int = CELL_GRAMS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """The keyed rows, and (k1, k2, place, component) of every node: place is its
-    first row's, component the smallest place that it reaches."""
+    """The keyed rows, and (k1, k2, component) of every node; a node is the place
+    of its first row, its component the smallest node that it reaches."""
     rows = keyed(docs, n, num, den)
-    nodes = stage(rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("place").alias("place")), "nodes")
-    first = rows.select("place", "n_shingles", "prefix").join(nodes.select("place"), "place", "left_semi")
-    outlines = rows.select(F.col("place").alias("a"), "n_shingles", "outline")
-    cells = _cells(first.select(F.col("place").alias("a"), "n_shingles", "prefix"), outlines, num, den)
-    placed = _placed(cells.join(rows.select(F.col("place").alias("node"), "n_shingles", "k1", "k2"), "node"), cell_grams)
-    broad = placed.where("slices > 1")
+    nodes = stage(
+        rows.where("n_shingles > 0").groupBy("k1", "k2")
+        .agg(F.min("place").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("outline", ignorenulls=True).alias("outline")),
+        "nodes",
+    )
+    cells = _cells(rows.where("prefix IS NOT NULL").select(F.col("k1").alias("a"), "n_shingles", "prefix"), nodes, num, den)
+    placed = _placed(cells.join(nodes.drop("outline"), "k1"), cell_grams)
+    broad = placed.where("slices > 1").drop("cell", "slices", "slice")
     if broad.limit(1).count():
         # large cells are cut anew by the frequencies of their own grams; nodes that meet no other leave
-        inside = stage(_sets(docs, n, broad.select("k1")).join(broad.select("k1", "k2", "node", "n_shingles"), ["k1", "k2"]).select("node", "n_shingles", "grams"), "inside")
-        finer = _cells(_seldom(inside, num, den), outlines, num, den)
-        placed = stage(placed.where("slices = 1").unionByName(_placed(finer.join(broad.select("node", "n_shingles", "k1", "k2"), "node"), cell_grams)), "placed")
-    members = (
-        _sets(docs, n, placed.select("k1")).join(placed.select("k1", "k2", "node", "cell", "slices", "slice"), ["k1", "k2"])
-        .select("cell", "slice", "node", "slices", "grams")
-    )
+        inside = stage(_joined(_sets(docs, n, broad), broad), "inside").select(F.col("k1").alias("a"), "n_shingles", "grams")
+        finer = _cells(_seldom(inside, num, den), nodes, num, den)
+        placed = stage(placed.where("slices = 1").unionByName(_placed(finer.join(broad, "k1"), cell_grams).select(placed.columns)), "placed")
+    members = _joined(_sets(docs, n, placed), placed).select("cell", "slice", "node", "slices", "grams")
     large = placed.where("slices > 1").limit(1).count() > 0
     if large:
         members = stage(members, "members")
@@ -618,10 +650,16 @@ def nodes_and_components(docs: DataFrame, n: int, num: int, den: int, cell_grams
     told = joined.join(low, "b").select(F.col("a").alias("node"), "component")
     if large:
         told = told.unionByName(_large(members.where("slices > 1"), placed.where("slices > 1"), num, den, pivots))
-    out = nodes.join(told.withColumnRenamed("node", "place"), "place", "left").select("k1", "k2", "place", F.coalesce("component", "place").alias("component"))
+    out = nodes.join(told, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     return rows, out
 
 
+def _joined(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sets with what ``nodes`` says of their key."""
+    small = nodes.count() * 64 <= BROADCAST_BYTES
+    return sets.join(F.broadcast(nodes) if small else nodes, ["k1", "k2"])
+
+
 def _large(members: DataFrame, placed: DataFrame, num: int, den: int, pivots: int) -> DataFrame:
     """Components inside cells of several slices, in rounds: sets outside the
     largest component of their cell that have not traversed are sent to all

@@ -2,7 +2,8 @@
 
 Reading is planned on the driver from the manifest: a task reads one base cell
 with the hot changes of its bucket; equality filters on a whole key choose one cell
-(turn on ``spark.sql.python.filterPushdown.enabled``). Writing stages a Parquet
+(turn on ``spark.sql.python.filterPushdown.enabled``). Tables with more than
+MAX_HOT_ROWS hot rows are refused. Writing stages a Parquet
 file a task and publishes them as one batch when all tasks are done. For large
 reads prefer ``Table.current()``, which stays inside the JVM.
 
@@ -27,12 +28,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidemark.errors import BadRequest
+from tidemark.errors import BadRequest, NotSupported
 from tidemark.functions.changelog import DELETES, PUTS
 from tidemark.plans import manifest as mf
 from tidemark.shipping import ship
 from tidemark.spec import TableSpec
 
+#: Hot rows that a task of the reader may have to hold.
+MAX_HOT_ROWS = 2_000_000
+
 
 def _root(options) -> str:
     path = options.get("path") or options.get("endpoint")
@@ -74,6 +78,8 @@ class TidemarkReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         m = _manifest(self.root)
+        if sum(r.rows for r in m.runs) > MAX_HOT_ROWS:
+            raise NotSupported(f"more than {MAX_HOT_ROWS} hot rows: run maintenance, or read Table.current()")
         runs = tuple(r.id for r in m.runs)
         out = [Cell(folder, runs, -1, 1) for folder in sorted(m.base.values())]
         shares = 8 if runs else 0
