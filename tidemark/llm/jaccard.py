@@ -562,6 +562,7 @@ def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     longest = F.floor(F.col("n_shingles") * den / num)
     spots = F.explode(F.sequence(of(F.col("n_shingles")), of(longest)))
     tokens = prefixes.select("a", "prefix", spots.alias("c")).select("a", "c", F.explode("prefix").alias("g")).select("a", F.xxhash64("g", "c").alias("gram"))
+    tokens = tokens.where("a IS NOT NULL AND gram IS NOT NULL")  # as a join would add below the exchange, which then could not serve both
     # of two nodes that share a gram with each other alone, the outlines tell whether they may link;
     # in a group of more, each is joined to the smallest, and outlines could not tell about the others
     tokens = tokens.repartition(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")  # one exchange for both
@@ -728,9 +729,11 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **li
     rows, nodes = nodes_and_components(id_text(docs, "doc_id", "text"), n, num, den, **limits)
     own = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("x"))
     kept = own.join(nodes.select("k1", "k2", "component"), ["k1", "k2"]).groupBy("component").agg(F.min("x").alias("x")).select(F.col("x.place").alias("k_place"))
-    kept = kept.unionByName(rows.where("n_shingles = 0").select(F.col("place").alias("k_place")))
+    kept = stage(kept, "kept")
+    gone = stage(rows.where("n_shingles > 0").select(F.col("place").alias("k_place")).join(kept, "k_place", "left_anti"), "gone")
+    small = gone.count() * 16 <= BROADCAST_BYTES
     marked = docs.withColumn("k_place", F.monotonically_increasing_id())
-    return marked.join(stage(kept, "kept"), "k_place", "left_semi").select(*docs.columns)
+    return marked.join(F.broadcast(gone) if small else gone, "k_place", "left_anti").select(*docs.columns)
 
 
 def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
