@@ -3,7 +3,7 @@ tokenisation and tables staged in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shipping import ship
+from tidemark.shipping import shared_dir, ship
 
 #: Output batches are cut at about so many bytes, whatever the input batch held.
 BATCH_BYTES = 8 << 20
@@ -34,19 +34,6 @@ def space_words(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: ``spark.checkpoint.dir``. Only
-    where it is unset (local tests) a temporary one is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage
     ends there, and a lost executor costs only its own running tasks."""
@@ -57,6 +44,16 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: Python workers live on
+    between tasks, beside those that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_arrow(
     df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[tuple]], schema: str | object, size_of: Callable | None = None
 ) -> DataFrame:
@@ -80,6 +77,7 @@ def map_arrow(
                     out, size = [], 0
             if out:
                 yield _batch(out, arrow)
+        trim()
 
     return df.mapInArrow(run, spark_schema)
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
 
-from ._common import documents, id_text, stage
+from ._common import documents, id_text, stage, trim
 from .graph import components
 
 SLOTS = 1 << 24  #: of the table of frequent grams: a byte each, shipped whole (16 MB)
@@ -72,7 +72,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15  #: odd, so that its powers can be divided by
 _CHUNK = 256 << 10  #: bytes that are hashed together
-COUNTED = 4 << 20  #: grams that are looked at together for repeats
+COUNTED = 2 << 20  #: grams that are looked at together for repeats
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -174,7 +174,12 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 def _map(df: DataFrame, run, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def often(docs: DataFrame, n: int) -> np.ndarray:
