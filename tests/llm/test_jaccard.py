@@ -124,6 +124,21 @@ def test_join_matches_brute_force(spark, tmp_path, n, num, den, limits):
     assert ids == sorted(min((k for k in g if k >= 0), default=-1) for g in groups.values())
 
 
+def test_rows_are_found_again_when_files_are_dealt_otherwise(spark, tmp_path):
+    """As when executors come or go between two scans: files go to other partitions."""
+    rows = [(i, f"a{i // 3} b{i // 3} c{i // 3} d{i // 3} e{i // 3} f{i // 3}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS k_place", "1 AS place").repartition(12, "doc_id").write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # below the cost of opening a file: a file each
+        kept = j.one_of_each(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)  # several files a partition
+        assert sorted(map(tuple, kept.collect())) == [(*rows[i], i, 1) for i in range(0, 60, 3)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert j.join(df).collect() == [] and j.one_of_each(df).collect() == []

@@ -276,7 +276,8 @@ def _table(counted: DataFrame) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """place, doc_id, n_shingles, k1, k2 and prefix of every row, written."""
+    """place, doc_id, n_shingles, k1, k2 and prefix of every row, written. A place
+    that ``docs`` has stays: row numbers hold only inside the job that gives them."""
     spark = docs.sparkSession
     held, token = spark.sparkContext.broadcast(often(docs, n)), uuid.uuid4().hex
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -306,7 +307,8 @@ def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             )
 
     schema = f"place long, doc_id {kind}, n_shingles long, k1 long, k2 long, prefix array<long>, outline array<smallint>"
-    return stage(_map(docs.withColumn("place", F.monotonically_increasing_id()), run, schema), "keyed")
+    own = F.col("place") if "place" in docs.columns else F.monotonically_increasing_id()
+    return stage(_map(docs.select("doc_id", "text", own.alias("place")), run, schema), "keyed")
 
 
 def _lists(values: list[np.ndarray | None], kind: type) -> pa.Array:
@@ -728,17 +730,21 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **limits) -> DataFrame:
-    """The rows of ``docs`` (read from files; needs doc_id and text) of which each
-    component keeps the one of the smallest id, with all their columns. Rows
-    without words all stay."""
-    rows, nodes = nodes_and_components(id_text(docs, "doc_id", "text"), n, num, den, **limits)
+    """The rows of ``docs`` (needs doc_id and text) of which each component keeps
+    the one of the smallest id, with all their columns. Rows without words all
+    stay. Rows are numbered once and written with their number: another scan of
+    ``docs`` may deal its files to other partitions."""
+    place = "k_place"
+    while place in docs.columns:
+        place += "_"
+    marked = stage(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    rows, nodes = nodes_and_components(marked.select("doc_id", F.col("text").cast("string").alias("text"), F.col(place).alias("place")), n, num, den, **limits)
     own = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("x"))
-    kept = own.join(nodes.select("k1", "k2", "component"), ["k1", "k2"]).groupBy("component").agg(F.min("x").alias("x")).select(F.col("x.place").alias("k_place"))
+    kept = own.join(nodes.select("k1", "k2", "component"), ["k1", "k2"]).groupBy("component").agg(F.min("x").alias("x")).select(F.col("x.place").alias(place))
     kept = stage(kept, "kept")
-    gone = stage(rows.where("n_shingles > 0").select(F.col("place").alias("k_place")).join(kept, "k_place", "left_anti"), "gone")
+    gone = stage(rows.where("n_shingles > 0").select(F.col("place").alias(place)).join(kept, place, "left_anti"), "gone")
     small = gone.count() * 16 <= BROADCAST_BYTES
-    marked = docs.withColumn("k_place", F.monotonically_increasing_id())
-    return marked.join(F.broadcast(gone) if small else gone, "k_place", "left_anti").select(*docs.columns)
+    return marked.join(F.broadcast(gone) if small else gone, place, "left_anti").select(*docs.columns)
 
 
 def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
