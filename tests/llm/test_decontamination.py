@@ -52,6 +52,16 @@ def test_search_matches_brute_force(spark):
         assert kept == {k for k, t in docs if not brute(t, items)[4]}
 
 
+def test_clean_judges_each_row_whatever_the_blocks(spark, monkeypatch):
+    docs = [(1, "so it goes on"), (1, "x one two three x"), (None, "nothing"), (None, "four five six"), (2, "one two three four five six"), (3, None), (3, "so")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS spans")
+    bench = spark.createDataFrame([("a", "one two three"), ("b", "four five six"), (None, "seven"), ("c", None)], "item_id string, text string")
+    want = sorted([(1, "so it goes on", 1), (None, "nothing", 1), (3, None, 1), (3, "so", 1)], key=repr)
+    for limit in (d.BLOCK_BYTES, 12):  # in one block, and in several
+        monkeypatch.setattr(d, "BLOCK_BYTES", limit)
+        assert sorted(map(tuple, d.clean(df, bench).collect()), key=repr) == want
+
+
 def test_single_length_searches():
     rng = random.Random(5)
     for _ in range(200):

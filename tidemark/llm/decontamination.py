@@ -158,26 +158,31 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``df`` (needs doc_id and text) without any hit word; all its columns."""
+    """The rows of ``df`` (needs text) without any hit word; all its columns. Each
+    row is judged by its own text: what a block hits does not go on to the next."""
     spark = df.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > BLOCK_BYTES:
-        bad = stage(scan(df, benchmark).where(F.size("spans") > 0).select("doc_id").distinct(), "hit")
-        return df.join(bad, df["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    held = spark.sparkContext.broadcast([(r["name"], (r["text"] or "").encode()) for r in benchmark.select(F.col("item_id").cast("string").alias("name"), "text").collect()])
-
-    token = uuid.uuid4().hex
-
-    def kept(batches):
-        import pyarrow as pa
+    items = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text"), F.lit("")).alias("text")
+    )
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
+    ship(spark)
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        held = spark.sparkContext.broadcast([(r["name"], r["text"].encode()) for r in own.collect()])
 
-        search = _searcher(token, held)
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([not search.find(alnum_words(t))[0] for t in utf8(batch.column(at))], type=pa.bool_()))
+        def kept(batches, token=uuid.uuid4().hex, held=held):
+            import pyarrow as pa
 
-    ship(spark)
-    return df.mapInArrow(kept, df.schema)
+            search = _searcher(token, held)
+            for batch in batches:
+                at = batch.schema.get_field_index("text")
+                yield batch.filter(pa.array([not search.find(alnum_words(t))[0] for t in utf8(batch.column(at))], type=pa.bool_()))
+
+        df = df.mapInArrow(kept, df.schema)
+        if k < blocks - 1:
+            df = stage(df, "clean")
+    return df
 
 
 def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
