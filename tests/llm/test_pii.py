@@ -96,6 +96,19 @@ def test_messages_are_exact_on_a_tree():
     assert np.abs(model.beliefs(text, tokens, rounds=60) - want).max() < 0.01
 
 
+def test_evidence_reaches_the_end_of_a_long_chain():
+    """Against the exact answer on a chain: agreement decays by one factor a link."""
+    import numpy as np
+
+    model = pii.Field(index={"has=.": 0}, weights=np.array([[0.0, 30, 0, 0, 0]]), skip=6 * np.eye(5))  # only the first token is evidence
+    text = "u7@x.y" + " lorem u7@m" * 60
+    tokens = pii.marked_tokens(text)
+    assert pii.skips(text, tokens) == [(i, i + 1) for i in range(60)]
+    p = model.beliefs(text, tokens)[:, 1]
+    decay = (np.exp(6) - 1) / (np.exp(6) + 4)
+    assert np.abs(p - (0.2 + 0.8 * decay ** np.arange(61))).max() < 0.01
+
+
 def test_query(spark):
     rows = [(i, t) for i, t in enumerate(training())] + [(900, None), (901, ""), (902, "plain"), (1, "10.0.0.1"), (1, "10.0.0.1")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans")

@@ -214,7 +214,8 @@ class Field:
         return out
 
     def beliefs(self, text: str, tokens: list[tuple[int, int]], rounds: int = 30) -> np.ndarray:
-        """Probabilities of the labels of each token, by loopy message passing."""
+        """Probabilities of the labels of each token, by loopy message passing: until
+        it settles, in at least ``rounds`` rounds and what the longest chain needs."""
         phi = self.unary(text, tokens)
         edges = []
         for i in range(len(tokens) - 1):
@@ -228,7 +229,10 @@ class Field:
             table = np.concatenate([tables[kind], tables[kind].transpose(0, 2, 1)])  # [edge, label of source, of target]
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
             sent = np.zeros((len(source), len(LABELS)))
-            for _ in range(rounds):
+            far = [0] * len(tokens)  # the longest chain that ends in a token
+            for i, j, _ in sorted(edges, key=lambda e: e[1]):
+                far[j] = max(far[j], far[i] + 1)
+            for _ in range(rounds + 4 * max(far)):  # half of a message goes on in a round
                 got = phi.copy()
                 np.add.at(got, target, sent)
                 into = (got[source] - sent[back])[:, :, None] + table
