@@ -139,6 +139,17 @@ def test_rows_are_found_again_when_files_are_dealt_otherwise(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_frequent_grams_are_counted_in_bounded_parts(spark, monkeypatch):
+    """Grams of a slot count together, and a part of a batch is counted when it has COUNTED grams."""
+    counted = spark.createDataFrame([(5, 3), (5 + j.SLOTS, 5), (9, 1), (9 + j.SLOTS, 1), (11, 1)], "gram long, n long")
+    table = j._table(counted)
+    assert [table[i] for i in (5, 9, 11, 12)] == [3, 1, 0, 0]
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(4)], "doc_id long, text string").coalesce(1)
+    assert (j.often(docs, 1) > 0).sum() == 2
+    monkeypatch.setattr(j, "COUNTED", 1)  # a text a part: none repeats in its own
+    assert (j.often(docs, 1) > 0).sum() == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert j.join(df).collect() == [] and j.one_of_each(df).collect() == []

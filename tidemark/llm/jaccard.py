@@ -233,48 +233,6 @@ def _table(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def often(docs: DataFrame, n: int) -> np.ndarray:
-    """The table of grams that several texts of a batch share: counts of all batches, by slot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            once = pc.unique(texts)  # copies say nothing about how many texts share a gram
-            own = list(all_grams(once, n))
-            values, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64),) * 2
-            again = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["gram", "n"])
-
-    counted = _map(docs, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return _table(counted.where(F.col("n") >= OFTEN))
-
-
-_shared: dict[str, object] = {}
-
-
-def _value(token: str, held) -> object:
-    if token not in _shared:
-        if len(_shared) > 3:
-            _shared.clear()
-        _shared[token] = held.value
-    return _shared[token]
-
-
-def _first(values: np.ndarray, hot: np.ndarray, p: int) -> np.ndarray:
-    """The first p of ascending grams in the order seldom before often, then as they are."""
-    often_ = hot[(values & np.uint64(len(hot) - 1)).astype(np.int64)]
-    seldom = values[often_ == 0]
-    return seldom[:p] if len(seldom) >= p else values[np.argsort(often_, kind="stable")[:p]]
-
-
-def _table(counted: DataFrame) -> np.ndarray:
-    """A byte for each slot: log2 of the greatest count (column n) of its grams, 0 if there is none."""
-    slots = counted.groupBy(F.expr(f"cast(gram & {SLOTS - 1} AS int)").alias("slot")).agg(F.max(F.floor(F.log2("n"))).cast("byte").alias("c")).toArrow()
-    out = np.zeros(SLOTS, np.uint8)
-    out[slots.column("slot").to_numpy()] = slots.column("c").to_numpy()
-    return out
-
-
 def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """place, doc_id, n_shingles, k1, k2 and prefix of every row, written. A place
     that ``docs`` has stays: row numbers hold only inside the job that gives them."""
