@@ -376,3 +376,11 @@ def test_service(make):
     assert s.flush() == {"fence": 2} and s.sink() == {"fence": 2}
     s.table.maintain()
     assert s.state()["persisted_seq"] == 2 and s.health() == {"status": "OK"}
+
+
+def test_service_reads_whole_prefixes(make):
+    s = Service(make(F2, Options(max_prefix_results=2)))
+    own = [{"id": 1, "sub_id": i, "marker": "a"} for i in range(4)]
+    s.write_batch([{"kind": "+I", "row": r} for r in own])
+    assert s.prefix_local({"id": 1}) == own
+    assert s.call("prefix", {"id": 1})["status"] == Overloaded.status

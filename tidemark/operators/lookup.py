@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from datetime import date, datetime
 from functools import reduce
@@ -62,9 +63,9 @@ def get(t: Table, key: Mapping, columns: Iterable[str] | None = None) -> Row | N
     return rows[0] if rows else None
 
 
-def prefix_local(t: Table, key: Mapping, limit: int | None = None) -> list[Row]:
+def prefix_local(t: Table, key: Mapping, limit: float | None = None) -> list[Row]:
     """Live hot rows whose leading key columns have these values, in key order.
-    More than ``limit`` of them is an error: no part of them is returned."""
+    More than ``limit`` of them is an error: no part of them is returned. ``math.inf`` is no limit."""
     return _bounded(t, live(t.hot(where=key_predicate(t.spec, key, whole=False))).select(*t.spec.columns), limit)
 
 
@@ -75,9 +76,10 @@ def prefix(t: Table, key: Mapping, limit: int | None = None, columns: Iterable[s
     return _bounded(t, df, limit, own)
 
 
-def _bounded(t: Table, df: DataFrame, limit: int | None, columns: list[str] | None = None) -> list[Row]:
+def _bounded(t: Table, df: DataFrame, limit: float | None, columns: list[str] | None = None) -> list[Row]:
     limit = t.options.max_prefix_results if limit is None else limit
-    rows = t.checked(lambda: df.orderBy(*t.spec.primary_key).limit(limit + 1).select(*(columns or df.columns)))
+    ordered = df.orderBy(*t.spec.primary_key)
+    rows = t.checked(lambda: (ordered if limit == math.inf else ordered.limit(limit + 1)).select(*(columns or df.columns)))
     if len(rows) > limit:
         raise Overloaded(f"more than {limit} rows")
     return rows

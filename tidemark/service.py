@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from tidemark.errors import NotSupported, ShuttingDown, TidemarkError
@@ -43,7 +44,7 @@ class Service:
         return {"result": result, "row": None if row is None else to_json(self.table.spec, row.asDict())}
 
     def prefix_local(self, key: Mapping) -> list[dict]:
-        return [to_json(self.table.spec, r.asDict()) for r in lookup.prefix_local(self.table, self._key(key))]
+        return [to_json(self.table.spec, r.asDict()) for r in lookup.prefix_local(self.table, self._key(key), limit=math.inf)]
 
     def prefix(self, key: Mapping, allow: bool = True) -> list[dict]:
         """Over all tiers. ``allow=False`` refuses it, for callers that rely on that."""
