@@ -1,23 +1,28 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded, seeded sample of labelled documents. Terms are words
-and word beginnings that lean to one label by a likelihood-ratio test over the
-examples; their inverse document frequencies are counted over all documents.
-A document's nearest examples by exact TF-IDF cosine come from an inverted index
-whose postings lie in blocks with their greatest weight: blocks and examples
-whose bound cannot reach the k-th best are passed over. The votes, weighted by
-distance and by how much of its label an example stands for, are calibrated by
-isotonic regression on examples that are left out in turn.
-
-The index is bounded by its parameters (EXAMPLES, TERMS), so it is shipped
-whole; documents are read for the sample, for the frequencies and for scoring,
-in place, with no shuffle but of the counts.
-
-Cases: null and empty texts and texts without terms get the calibrated rate of
-examples without terms; equal cosines go to the example that comes first by hash;
-rows that repeat an id count each; an id with both labels counts as toxic; with
-no labels every score is 0; empty tables give empty results; other columns are
-ignored. Labels, language, source and id are no inputs of a score.
+Examples are a bounded, seeded sample of labelled documents. Terms are all their
+words and word beginnings. A term weighs in a text by its frequency there, its
+inverse document frequency over all documents, and a *lean* between 0 and 1: how
+surely it is unevenly spread over the labels (by a likelihood ratio over the
+examples). The lean only weighs: no term is left out by it.
+
+A document's nearest examples by exact cosine come from an inverted index whose
+postings lie in blocks of similar examples, with each term's greatest weight in
+each block. The sums of these bound the cosines of a block; blocks are gone
+through from the greatest bound on, and those whose bound cannot reach the k-th
+best are passed over. The votes, weighted by distance and by how much of its label
+an example stands for, are calibrated by isotonic regression on examples that are
+scored by a model of the other folds: leans and index are made without them.
+
+What is shipped is bounded by EXAMPLES and EXAMPLE_BYTES; documents are read
+for the sample, for the frequencies and for scoring, in place, with no shuffle but
+of the sample and the counts.
+
+Cases: null and empty texts and texts without any known term get the rate of
+label 1; equal cosines go to the example that comes first by hash; rows that
+repeat an id count each; an id with both labels counts as toxic; with no labels
+every score is 0; empty tables give empty results; other columns are ignored.
+Labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,180 +32,242 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable
-from dataclasses import dataclass, field
-from operator import itemgetter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
 
-from ._common import alnum_words, documents, id_text, map_arrow, utf8
+from ._common import alnum_words, documents, id_text, map_arrow, trim, utf8
 
-EXAMPLES = 2500  #: of each label, at most
-EXAMPLE_BYTES = 100_000  #: longer documents are no examples
-TERMS = 2000
-MIN_G2 = 18.0
+EXAMPLES = 1000  #: of each label, at most
+EXAMPLE_BYTES = 20_000  #: longer documents are no examples (they are scored like all others)
+SURE = 10.0  #: the likelihood ratio at which a term has half of its lean, before it is squared
 NEAREST = 15
-BLOCK = 32
-FOLDS = 5  #: rows with crc32(id) mod FOLDS = 0 are held out
+BLOCK = 32  #: examples of a block
+FIRST = 4  #: blocks that are looked at before any can be passed over
+REST = 0.2  #: share of a query's greatest sum that its weakest terms may make together
+MAY = 100  #: vectors that these may still lift; above, fewer terms are left to the end
+FOLDS = 5  #: rows with crc32(id) mod FOLDS = 0 are held out; the others are calibrated in as many folds
+STEMS = (5,)  #: bytes of the word beginnings
+MEMO = 200_000  #: words whose terms a task remembers
 
-_STEMS = [(n, itemgetter(slice(0, n))) for n in (4, 5, 6)]
 
-
-def terms_of(words: set[bytes]) -> set[bytes]:
-    """Words and their beginnings of 4, 5 and 6 bytes (marked by a leading dot)."""
-    out = set(words)
-    for n, cut in _STEMS:
-        out.update([b"." + x for x in set(map(cut, words)) if len(x) == n])
-    return out
-
-
-@dataclass
-class Postings:
-    """Examples (ascending) and weights of a term, in blocks with their greatest weight."""
-
-    at: list[int] = field(default_factory=list)
-    weight: list[float] = field(default_factory=list)
-    most: float = 0.0
-    block_last: list[int] = field(default_factory=list)
-    block_most: list[float] = field(default_factory=list)
-
-    def close(self) -> None:
-        for i in range(0, len(self.at), BLOCK):
-            self.block_last.append(self.at[min(i + BLOCK, len(self.at)) - 1])
-            self.block_most.append(max(self.weight[i : i + BLOCK]))
-        self.most = max(self.block_most, default=0.0)
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one after another."""
+    size = ends - starts
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class Index:
-    def __init__(self, vectors: list[dict[bytes, float]]):
-        self.postings: dict[bytes, Postings] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                p = self.postings.setdefault(t, Postings())
-                p.at.append(i)
-                p.weight.append(w)
-        for p in self.postings.values():
-            p.close()
-
-    def nearest(self, query: dict[bytes, float], k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine above 0, best first, earlier ones
-        first among equals. Block-max WAND: exact."""
-        lists = [[0, w, self.postings[t]] for t, w in sorted(query.items()) if t in self.postings]
-        best: list[tuple[float, int]] = []  # (cosine, -example), ascending
-        floor = 0.0
-        eps = 1e-12
-        while lists:
-            lists.sort(key=lambda x: x[2].at[x[0]])
-            bound, pivot = 0.0, -1
-            for i, (_, w, p) in enumerate(lists):
-                bound += w * p.most
-                if bound > floor - eps:
-                    pivot = i
-                    break
-            if pivot < 0:
+    """Vectors (terms and weights of each) as postings by term, in blocks."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.n = len(vectors)
+        # examples whose strongest terms are equal lie together
+        lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+        self.order = np.array(sorted(range(self.n), key=lambda i: (lead[i], i)), np.int64)
+        self.blocks = -(-self.n // BLOCK)
+        sizes = np.array([len(vectors[i][0]) for i in self.order], np.int64)
+        at = np.repeat(np.arange(self.n), sizes)
+        #: the vectors themselves, in order, for exact sums
+        self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.terms = np.concatenate([vectors[i][0] for i in self.order]).astype(np.int32) if self.n else np.zeros(0, np.int32)
+        self.weights = np.concatenate([vectors[i][1] for i in self.order]) if self.n else np.zeros(0)
+        by = np.argsort(self.terms, kind="stable")
+        term, self.at, self.weight = self.terms[by].astype(np.int64), at[by].astype(np.int32), self.weights[by]
+        own = term * max(self.blocks, 1) + self.at // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        #: of each block of a term's postings: where it starts, which block it is, its greatest weight
+        self.start = np.concatenate([first, [len(term)]]).astype(np.int64)
+        self.block = (own[first] % max(self.blocks, 1)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(term[first], np.arange(terms + 1))
+        #: the greatest weight of a term
+        self.top = np.zeros(terms)
+        np.maximum.at(self.top, term, self.weight)
+        self.asked = np.zeros(terms)  # the query's weights while it searches
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
+        """The k vectors of greatest cosine above 0, best first, earlier ones first
+        among equals. Exact: terms that together cannot add more than ``rest`` are
+        left to the end, and are summed only for vectors that they could still lift."""
+        most = weights * self.top[terms]
+        turn = np.argsort(-most, kind="stable")
+        turn = turn[: np.count_nonzero(most)]
+        if not len(turn):
+            return []
+        terms, weights = terms[turn], weights[turn]
+        below = np.cumsum(most[turn][::-1])[::-1]  # of each term and those after it
+        cut, eps = int(np.searchsorted(-below, -REST * below[0])), 1e-9
+        while True:
+            rest = float(below[cut]) if cut < len(below) else 0.0
+            scores, floor = self._blocks(terms[:cut], weights[:cut], rest, k)
+            able = scores + rest >= floor - eps
+            able &= (scores > 0) | (rest > 0)
+            if cut >= len(terms) or np.count_nonzero(able) <= MAY:
                 break
-            doc = lists[pivot][2].at[lists[pivot][0]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][2].at[lists[pivot + 1][0]] == doc:
-                pivot += 1
-            # the blocks that hold this example, and the first example beyond them
-            bound, beyond = 0.0, lists[pivot + 1][2].at[lists[pivot + 1][0]] if pivot + 1 < len(lists) else 1 << 60
-            for x in lists[: pivot + 1]:
-                b = bisect_left(x[2].block_last, doc)
-                if b < len(x[2].block_last):
-                    bound += x[1] * x[2].block_most[b]
-                    beyond = min(beyond, x[2].block_last[b] + 1)
-            if len(best) == k and bound < floor - eps:
-                target = max(beyond, doc + 1)
-            elif lists[0][2].at[lists[0][0]] != doc:
-                target = doc
-            else:
-                score = 0.0
-                for at, w, p in lists[: pivot + 1]:
-                    score += w * p.weight[at]
-                if doc != without:
-                    entry = (round(score, 12), -doc)
-                    if len(best) < k or entry > best[0]:
-                        best.insert(bisect_left(best, entry), entry)
-                        if len(best) > k:
-                            best.pop(0)
-                        floor = best[0][0] if len(best) == k else 0.0
-                target = doc + 1
-            for x in lists[: pivot + 1]:
-                if x[2].at[x[0]] < target:
-                    x[0] = bisect_left(x[2].at, target, x[0])
-            lists = [x for x in lists if x[0] < len(x[2].at)]
-        return [(s, -d) for s, d in reversed(best)]
-
-
-@dataclass
+            cut = min(len(terms), 4 * cut + 1)
+        found = np.flatnonzero(able)
+        self.asked[terms] = weights
+        posts = _spans(self.begin[found], self.begin[found + 1])
+        sums = np.concatenate([[0.0], np.cumsum(self.asked[self.terms[posts]] * self.weights[posts])]) if len(found) else np.zeros(1)
+        self.asked[terms] = 0.0
+        ends = np.cumsum(self.begin[found + 1] - self.begin[found])
+        exact = sums[ends] - sums[np.concatenate([[0], ends[:-1]])] if len(found) else np.zeros(0)
+        best = sorted((-round(float(s), 10), int(self.order[i])) for s, i in zip(exact, found, strict=True) if s > eps)[:k]
+        return [(-s, i) for s, i in best]
+
+    def _blocks(self, terms: np.ndarray, weights: np.ndarray, rest: float, k: int) -> tuple[np.ndarray, float]:
+        """Sums over these terms for all vectors of the blocks that may hold one of
+        the k best, and what the k-th best has at least."""
+        a, b = self.entry[terms], self.entry[terms + 1]
+        entries = _spans(a, b)
+        own, block = np.repeat(weights, b - a), self.block[entries]
+        bound = np.bincount(block, own * self.most[entries], self.blocks) + rest
+        turn = np.argsort(-bound, kind="stable")
+        scores, floor = np.zeros(self.n), 0.0
+        for chosen in (turn[:FIRST], turn[FIRST:]):
+            chosen = chosen[bound[chosen] >= floor - 1e-9]
+            seen = np.zeros(self.blocks, bool)
+            seen[chosen] = True
+            mine = seen[block]
+            s, e = self.start[entries[mine]], self.start[entries[mine] + 1]
+            posts = _spans(s, e)
+            scores += np.bincount(self.at[posts], self.weight[posts] * np.repeat(own[mine], e - s), self.n)
+            if self.n > k:
+                floor = float(np.partition(scores, self.n - k)[self.n - k])
+        return scores, floor
+
+
+class _Memo(dict):
+    """Numbers of the terms of words, of those seen last."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = got = self.of(word)
+        return got
+
+
+class Terms:
+    """Numbers of words and word beginnings."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {}
+        self.stems: dict[bytes, int] = {}
+        self.memo = _Memo(self._of)
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.stems)
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.stems
+
+    def __setstate__(self, state: tuple) -> None:
+        self.words, self.stems = state
+        self.memo = _Memo(self._of)
+
+    def learn(self, words: set[bytes]) -> None:
+        for w in words:
+            if w not in self.words:
+                self.words[w] = len(self)
+            for n in STEMS:
+                if len(w) >= n and w[:n] not in self.stems:
+                    self.stems[w[:n]] = len(self)
+
+    def _of(self, word: bytes) -> tuple[int, ...]:
+        own = [self.words.get(word), *(self.stems.get(word[:n]) for n in STEMS if len(word) >= n)]
+        return tuple(t for t in own if t is not None)
+
+    def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text, ascending, and how often each is there."""
+        times = Counter(words)
+        own = list(map(self.memo.__getitem__, times))
+        flat = np.fromiter(chain.from_iterable(own), np.int64)
+        each = np.repeat(np.fromiter(times.values(), np.float64, len(times)), np.fromiter(map(len, own), np.int64, len(own)))
+        terms, back = np.unique(flat, return_inverse=True)
+        return terms, np.bincount(back, each, len(terms))
+
+    def set_of(self, words: list[bytes]) -> np.ndarray:
+        """Terms of a text, each once."""
+        has = set(chain.from_iterable(map(self.memo.__getitem__, set(words))))
+        return np.fromiter(has, np.int64, len(has))
+
+    def name(self, numbers: list[int]) -> list[str]:
+        wanted = set(numbers)
+        told = {i: w.decode("utf-8", "replace") for w, i in self.words.items() if i in wanted}
+        told |= {i: w.decode("utf-8", "replace") + "-" for w, i in self.stems.items() if i in wanted}
+        return [told[i] for i in numbers]
+
+
+def leans(have: np.ndarray, total: tuple[int, int]) -> np.ndarray:
+    """Of each term, from how many examples of either label (rows of ``have``)
+    have it: between 0 and 1."""
+    a, b = have[1].astype(float), have[0].astype(float)
+    c, d = total[1] - a, total[0] - b
+    n = max(sum(total), 1)
+    g2 = np.zeros(len(a))
+    for x, row, col in ((a, a + b, total[1]), (b, a + b, total[0]), (c, c + d, total[1]), (d, c + d, total[0])):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g2 += np.where(x > 0, x * np.log(x * n / (row * col)), 0.0)
+    g2 = np.maximum(2 * g2, 0.0)
+    return (g2 / (g2 + SURE)) ** 2
+
+
 class Model:
-    """Examples, terms and calibration."""
-
-    idf: dict[bytes, float]
-    stems: set[bytes]
-    names: list[object]
-    labels: list[int]
-    weights: dict[int, float]
-    index: Index
-    prior: float = 0.0
-    steps: list[tuple[float, float]] = field(default_factory=list)  #: from this raw score on: calibrated
-
-    def vector(self, words: list[bytes]) -> dict[bytes, float]:
-        own = set(words)
-        has = own & self.idf.keys()
-        starts = set()
-        for n, cut in _STEMS:
-            starts |= {x for x in map(cut, own) if x in self.stems and len(x) == n}
-        if not has and not starts:
-            return {}
-        counts = Counter(w for w in words if w in has)
-        if starts:
-            for w in words:
-                for n, cut in _STEMS:
-                    if (x := cut(w)) in starts and len(x) == n:
-                        counts[b"." + x] += 1
-        raw = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        return {t: v / norm for t, v in raw.items()}
-
-    def nearest(self, vector: dict[bytes, float], known: dict[tuple, list]) -> list[tuple[float, int]]:
-        """The nearest examples; ``known`` keeps those of equal vectors."""
-        if not vector:
-            return []
-        key = tuple(sorted(vector.items()))
-        if key not in known:
-            if len(known) > 20_000:
-                known.clear()
-            known[key] = self.index.nearest(vector)
-        return known[key]
+    """Examples, their terms' weights, the index of their vectors and the calibration."""
+
+    def __init__(self, terms: Terms, idf: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], stands: dict[int, float], names: list):
+        self.terms, self.idf, self.labels, self.stands, self.names = terms, idf, labels, stands, names
+        have = np.zeros((2, len(idf)))
+        for (t, _), y in zip(counts, labels, strict=True):
+            have[y, t] += 1
+        self.weight = idf * leans(have, (labels.count(0), labels.count(1)))
+        self.index = Index([self.vector(*c) for c in counts], len(idf))
+        mass = sum(stands[y] for y in labels)
+        self.prior = sum(stands[y] for y in labels if y) / mass if mass else 0.0
+        self.steps: list[tuple[float, float]] = []  #: from this raw score on: calibrated
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights, of length 1; terms that say nothing (in as many examples of each label as chance has it) are left out."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        terms, w = terms[w > 0], w[w > 0]
+        return terms, w / math.sqrt((w * w).sum()) if len(w) else w
+
+    def near(self, terms: np.ndarray, counts: np.ndarray) -> list[tuple[float, int]]:
+        return self.index.nearest(*self.vector(terms, counts))
 
     def raw(self, near: list[tuple[float, int]]) -> float:
-        votes = [(self.weights[self.labels[i]] / (1.05 - s), self.labels[i]) for s, i in near]
+        votes = [(self.stands[self.labels[i]] / (1.05 - s), self.labels[i]) for s, i in near]
         return (sum(v for v, y in votes if y) + 0.5 * self.prior) / (sum(v for v, _ in votes) + 0.5)
 
     def score(self, near: list[tuple[float, int]]) -> float:
+        """Between the steps of the calibration scores rise with the votes."""
         if not near:
             return self.prior
         raw = self.raw(near)
-        return self.steps[max(0, bisect_left(self.steps, (raw, 2.0)) - 1)][1] if self.steps else raw
+        return float(np.interp(raw, *zip(*self.steps, strict=True))) if self.steps else raw
 
 
 def isotonic(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
-    """Pool adjacent violators over (raw, label, weight): (from raw, value), ascending."""
+    """Pool adjacent violators over (raw, label, weight): (middle of the raw scores, value) of each pool, ascending."""
     pools: list[list[float]] = []
     for raw, y, w in sorted(points):
-        pools.append([raw, y * w, w])
-        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
-            _, a, b = pools.pop()
-            pools[-1][1] += a
-            pools[-1][2] += b
+        pools.append([raw * w, y * w, w, raw])
+        while len(pools) > 1 and (pools[-2][3] == pools[-1][3] or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
+            r, a, b, last = pools.pop()
+            pools[-1] = [pools[-1][0] + r, pools[-1][1] + a, pools[-1][2] + b, last]
     out: list[tuple[float, float]] = []
-    for raw, a, n in pools:  # half an example of each label keeps values off 0 and 1
-        out.append((raw, max((a + 0.5) / (n + 1), out[-1][1] if out else 0.0)))
+    for r, a, n, _ in pools:  # half an example of each label keeps values off 0 and 1
+        out.append((r / n, max((a + 0.5) / (n + 1), out[-1][1] if out else 0.0)))
     return out
 
 
@@ -221,44 +288,6 @@ def _different(texts: list[list[bytes]]) -> list[int]:
     return keep
 
 
-def g2(a: float, b: float, c: float, d: float) -> float:
-    """Likelihood ratio of a 2 x 2 table."""
-    n = a + b + c + d
-    out = 0.0
-    for x, row, col in ((a, a + b, a + c), (b, a + b, b + d), (c, c + d, a + c), (d, c + d, b + d)):
-        if x:
-            out += x * math.log(x * n / (row * col))
-    return 2 * out
-
-
-def select_terms(texts: list[list[bytes]], labels: list[int], weights: dict[int, float]) -> list[bytes]:
-    """Terms that lean to a label, the strongest first: both labels' terms count."""
-    have = {0: Counter(), 1: Counter()}
-    total = Counter(labels)
-    for words, y in zip(texts, labels, strict=True):
-        have[y].update(terms_of(set(words)))
-    strong = []
-    for t in have[1].keys() | have[0].keys():
-        a, b = have[1][t], have[0][t]
-        if a + b < 5 or not total[0] or not total[1]:
-            continue
-        lean = a * weights[1] / max(a * weights[1] + b * weights[0], 1e-9)
-        base = total[1] * weights[1] / (total[1] * weights[1] + total[0] * weights[0])
-        if (s := g2(a, b, total[1] - a, total[0] - b)) >= MIN_G2 and (lean >= 0.5 or b > a and lean <= base / 10):
-            strong.append((-s, t))
-    # of terms that are in the very same examples, the most exact stands for all
-    where: dict[bytes, list[int]] = {t: [] for _, t in strong}
-    for i, words in enumerate(texts):
-        for t in terms_of(set(words)) & where.keys():
-            where[t].append(i)
-    exact: dict[tuple, bytes] = {}
-    for t, at in where.items():
-        held = exact.setdefault(tuple(at), t)
-        exact[tuple(at)] = max(held, t, key=lambda x: (not x.startswith(b"."), len(x), x))
-    stands = set(exact.values())
-    return [t for _, t in sorted(strong) if t in stands][:TERMS]
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """``labels`` has doc_id and toxic; rows of the held-out fold are not looked at."""
     known = (
@@ -278,26 +307,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = [alnum_words((r["text"] or "").encode()) for r in chosen]
     keep = _different(texts)
     texts, chosen = [texts[i] for i in keep], [chosen[i] for i in keep]
-    own = [r["toxic"] for r in chosen]
-    n = Counter(own)
-    weights = {y: sizes[y] / n[y] for y in n}
-    terms = select_terms(texts, own, {0: 1.0, 1: 1.0} | weights)
-    found, rows_all = frequencies(docs, terms, id_col, text_col)
-    idf = {t: math.log(1 + rows_all / (1 + found.get(t, 0))) for t in terms}
-    model = Model(idf, {t[1:] for t in terms if t.startswith(b".")}, [r["doc_id"] for r in chosen], own, weights, Index([]))
-    vectors = [model.vector(w) for w in texts]
-    model.index = Index(vectors)
-    # left out in turn, those without terms make the prior, the others the calibration
-    plain = [y for v, y in zip(vectors, own, strict=True) if not v]
-    mass = sum(weights[y] for y in plain)
-    model.prior = (sum(weights[y] for y in plain if y) + 0.5) / (mass + 1) if mass else 0.0
+    terms = Terms()
+    for words in texts:
+        terms.learn(set(words))
+    found, rows = frequencies(docs, terms, id_col, text_col)
+    return fitted(terms, np.log(1 + rows / (1 + found)), texts, [r["toxic"] for r in chosen], sizes, [r["doc_id"] for r in chosen])
+
+
+def fitted(terms: Terms, idf: np.ndarray, texts: list[list[bytes]], labels: list[int], sizes: dict[int, int], names: list) -> Model:
+    """The model of these examples. ``sizes``: how many labelled documents they stand for."""
+    counts = [terms.counts(words) for words in texts]
+    n = Counter(labels)
+    stands = {y: sizes[y] / n[y] for y in n}
+    model = Model(terms, idf, counts, labels, stands, names)
+    if len(n) < 2:
+        return model
     points = []
-    for i, v in enumerate(vectors):
-        if v:
-            near = model.index.nearest(v, without=i)
-            if near:
-                points.append((model.raw(near), float(own[i]), weights[own[i]]))
-    model.steps = isotonic(points)
+    for fold in range(FOLDS):
+        others = [i for i in range(len(labels)) if i % FOLDS != fold]
+        part = Model(terms, idf, [counts[i] for i in others], [labels[i] for i in others], stands, [])
+        for i in range(fold, len(labels), FOLDS):
+            if near := part.near(*counts[i]):
+                points.append((part.raw(near), float(labels[i]), stands[labels[i]]))
+    steps = isotonic(points)
+    # beyond the middle of the outer pools scores go on half of the way to 0 and 1
+    model.steps = [(-1e-9, steps[0][1] / 2), *steps, (1 + 1e-9, (1 + steps[-1][1]) / 2)] if steps else []
     return model
 
 
@@ -305,54 +339,59 @@ def held_out(key) -> object:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def frequencies(docs: DataFrame, terms: Iterable[bytes], id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[bytes, int], int]:
+def frequencies(docs: DataFrame, terms: Terms, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many documents each term is, and how many documents there are."""
-    words = {t for t in terms if not t.startswith(b".")}
-    stems = {t[1:] for t in terms if t.startswith(b".")}
+    spark = docs.sparkSession
+    ship(spark)
+    held, token, size = spark.sparkContext.broadcast(terms), uuid.uuid4().hex, len(terms)
 
-    def rows(batch):
-        n = Counter()
-        for text in utf8(batch.column(1)):
-            own = set(alnum_words(text))
-            n.update(words & own)
-            for size, cut in _STEMS:
-                n.update({b"." + x for x in map(cut, own) if x in stems and len(x) == size})
-            n[b""] += 1
-        yield from n.items()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _held(token, held)
+        n = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for text in utf8(batch.column(1)):
+                n[own.set_of(alnum_words(text))] += 1
+                n[size] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["term", "n"])
+        trim()
 
-    counts = map_arrow(id_text(docs, id_col, text_col), rows, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {bytes(r["term"]): r["n"] for r in counts}
-    return found, found.pop(b"", 0)
+    counts = id_text(docs, id_col, text_col).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, np.int64)
+    out[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    return out[:size], int(out[size])
 
 
-_models: dict[str, Model] = {}
+_models: dict[str, object] = {}
 
 
-def _held(token: str, shipped) -> Model:
+def _held(token: str, shipped):
     if token not in _models:
         _models.clear()
         _models[token] = shipped.value
     return _models[token]
 
 
+SHOWN = 8  #: terms of greatest weight that are told with a score
 EVIDENCE = "array<struct<example:string,cosine:double,toxic:int>>"
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, terms (those found) and evidence (nearest examples) of every row."""
+    """doc_id, score, terms (the SHOWN strongest) and evidence (nearest examples) of every row."""
     spark = docs.sparkSession
     ship(spark)
     shipped, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def rows(batch):
         m = _held(token, shipped)
-        known: dict[tuple, list] = {}
+        known: dict[int, str] = {}
         for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            v = m.vector(alnum_words(text))
-            near = m.nearest(v, known)
-            yield key, m.score(near), [t.decode("utf-8", "replace") for t in sorted(v)], [
-                {"example": str(m.names[i]), "cosine": s, "toxic": m.labels[i]} for s, i in near
-            ]
+            t, w = m.vector(*m.terms.counts(alnum_words(text)))
+            near = m.index.nearest(t, w)
+            top = t[np.lexsort((t, -w))[:SHOWN]].tolist()
+            if new := [x for x in top if x not in known]:
+                known.update(zip(new, m.terms.name(new), strict=True))
+            yield key, m.score(near), [known[x] for x in top], [{"example": str(m.names[i]), "cosine": s, "toxic": m.labels[i]} for s, i in near]
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(id_text(docs, id_col, text_col), rows, f"doc_id {kind}, score double, terms array<string>, evidence {EVIDENCE}", lambda r: 40 * len(r[3]))
@@ -364,14 +403,11 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     shipped, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def kept(batches):
-        import pyarrow as pa
-
         m = _held(token, shipped)
-        known: dict[tuple, list] = {}
         for batch in batches:
             texts = utf8(batch.column(batch.schema.get_field_index("text")))
-            vectors = (m.vector(alnum_words(t)) for t in texts)
-            yield batch.filter(pa.array([m.score(m.nearest(v, known)) < threshold for v in vectors], type=pa.bool_()))
+            yield batch.filter(pa.array([m.score(m.near(*m.terms.counts(alnum_words(t)))) < threshold for t in texts], type=pa.bool_()))
+        trim()
 
     return docs.mapInArrow(kept, docs.schema)
 
