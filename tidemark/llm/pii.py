@@ -1,28 +1,35 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find email, ip, card and phone spans. The field labels the *marked*
-tokens of a document (those with a digit or an at sign; all other tokens are
-held at the label "other") with one of five labels. Its factors: token features,
-adjacent marked tokens, the other tokens beside them, and skip edges from each
+tokens of a document: those with a digit or an at sign, capitalised ones after a
+word that introduces a name (and the same ones elsewhere in the document), and what
+stands between a number and a street word. All other tokens are held at the label
+"other". Labels are the four kinds of the patterns, which the field also finds in
+forms that these do not match, and secret, name and address.
+
+Its factors: token features, adjacent marked tokens, and skip edges from each
 marked token to the next one that is equal or similar (same letters and digits,
-same digits, same name before the at sign). Loopy sum-product message passing
-over a document's graph makes repeats agree; spans that it adds never replace
-or overlap those of the patterns.
+same digits, same name before the at sign). Loopy sum-product message passing over
+a document's graph makes repeats agree; spans that it adds never replace or overlap
+those of the patterns.
 
-Training is piecewise (each kind of factor on its own) on at most SAMPLE_DOCS
-documents, with the patterns' spans as labels. Everything else runs in place
-over whole texts, with no shuffle; edges are linear in the marked tokens.
+Training maximises the pseudo-likelihood of all factors together on *made*
+documents: words of at most SAMPLE_DOCS documents (without their marked tokens) into
+which entities of known labels, repeats of them and look-alikes that are none
+(versions, dates, counts, checksums, numbers that fail Luhn) are put by a seeded
+generator. So the labels do not come from the patterns. Everything else runs in
+place over whole texts, with no shuffle; edges are linear in the marked tokens.
 
 Cases: null and empty texts have no spans; offsets are code points of the text
-as it is; repeated rows give repeated results; without marked tokens in the
-sample the field adds nothing; an empty table gives an empty table; other
-columns are ignored.
+as it is; repeated rows give repeated results; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -33,15 +40,28 @@ from pyspark.sql import functions as F
 
 from ._common import documents, id_text, map_arrow
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")  #: what the patterns find
+KINDS = (*BASE, "secret", "name", "address")
 LABELS = ("other", *KINDS)
+EMAIL, IP, CARD, PHONE, SECRET, NAME, ADDRESS = range(1, len(LABELS))
 SAMPLE_DOCS = 600
 DRAWN = 20_000  #: documents that the sample is drawn from, so that few reach the driver
-SAMPLE_CHARS = 50_000  #: longer documents are not trained on
-MAX_FEATURES = 512
-AGREE = 2  #: pairs that skip edges of each label count before training
-MIN_BELIEF = 0.8  #: of a label, for a span that the field adds
-
+SAMPLE_CHARS = 50_000  #: longer documents are not drawn
+MADE_WORDS = 60  #: words of a made document, besides its entities
+MAX_FEATURES = 1024
+MIN_BELIEF = 0.9  #: of a label, for a span that the field adds
+SEED = 11
+
+#: Words that introduce a name, and words that end a street.
+NAME_CUES = ("name", "Name", "Mr", "Mrs", "Ms", "Dr", "Dear", "contact", "Contact", "signed", "Signed", "regards", "Regards")
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Boulevard", "Blvd", "Drive", "Square")
+#: Words that introduce a secret, and those that introduce a checksum (for made documents).
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "key", "access_token", "auth", "bearer", "pwd", "client_secret")
+PLAIN_CUES = ("commit", "sha1", "checksum", "digest", "revision", "build", "etag", "md5")
+
+_CUE = re.compile(r"\b(?:" + "|".join(NAME_CUES) + r")\b[.:,]?[ \t]+(?:is[ \t]+)?")
+_CAPITAL = re.compile(r"[A-Z][a-z'-]*[a-z][.,;:!?]*\Z")
+_STREET = re.compile(r"\b[0-9]+[A-Za-z]?[ \t]+((?:[A-Z][a-z]+[ \t]+){1,3}(?:" + "|".join(STREETS) + r")\b)")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can begin inside a run of digits only where it could begin at its start
@@ -91,9 +111,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _token_at(text: str, at: int) -> tuple[int, int]:
+    start = at
+    while start > 0 and text[start - 1] not in " \t\n\v\f\r":
+        start -= 1
+    stop = _SPACE.search(text, at)
+    return start, stop.start() if stop else len(text)
+
+
+def _names(text: str) -> set[tuple[int, int]]:
+    """One or two capitalised tokens after a cue, and the same ones elsewhere."""
+    if not any(c in text for c in NAME_CUES):
+        return set()
+    out: set[tuple[int, int]] = set()
+    bare = set()
+    for m in _CUE.finditer(text):
+        at = m.end()
+        for _ in range(2):
+            if at >= len(text) or text[at] in " \t\n\v\f\r":
+                break
+            a, b = _token_at(text, at)
+            if a < m.end() or not _CAPITAL.match(text[a:b]):
+                break
+            out.add((a, b))
+            bare.add(text[a:b].rstrip(".,;:!?"))
+            if text[b - 1] in ".,;:!?" or not (gap := re.compile(r"[ \t]+").match(text, b)):
+                break
+            at = gap.end()
+    if bare:
+        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(bare))) + r")\b", text):
+            a, b = _token_at(text, m.start())
+            if _CAPITAL.match(text[a:b]):
+                out.add((a, b))
+    return out
+
+
 def marked_tokens(text: str) -> list[tuple[int, int]]:
-    """Start and end of every token (no spaces in it) with a digit or an at sign."""
-    out, end = [], 0
+    """Start and end of every marked token (tokens have no spaces in them), in order."""
+    out: set[tuple[int, int]] = set()
+    end = 0
     m = _MARK.search(text)
     while m:
         start = m.start()
@@ -101,31 +157,73 @@ def marked_tokens(text: str) -> list[tuple[int, int]]:
             start -= 1
         stop = _SPACE.search(text, m.end())
         end = stop.start() if stop else len(text)
-        out.append((start, end))
+        out.add((start, end))
         m = _MARK.search(text, end)
-    return out
+    if out and any(w in text for w in STREETS):
+        for m in _STREET.finditer(text):
+            at = m.start(1)
+            while at < m.end():
+                a, b = _token_at(text, at)
+                out.add((a, b))
+                gap = _SPACES.match(text, b)
+                at = gap.end()
+                if at == b:
+                    break
+    return sorted(out | _names(text))
 
 
 def _shape(token: str) -> str:
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", token[:64]))[:16]
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", token))[:16]
 
 
 def _bucket(n: int) -> int:
     return n if n < 5 else 5 + int(math.log2(n / 5) * 2)
 
 
+_HEX = re.compile(r"[0-9A-Fa-f]+\Z")
+_EDGE = re.compile(r"^[\W_]+|[\W_]+\Z")
+_SPACES = re.compile(r"[\x20\x09-\x0D]*")
+_QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}\Z")
+
+
+def _before(text: str, at: int, reach: int = 40) -> list[str]:
+    """The two tokens that end before ``at``, the nearer first."""
+    near = text[max(0, at - reach) : at].split()[-2:]
+    return [(_EDGE.sub("", w).lower() or w[:2]) for w in reversed(near)]
+
+
 def features(text: str, tokens: list[tuple[int, int]], i: int) -> list[str]:
     a, b = tokens[i]
     t = text[a:b]
+    core = _EDGE.sub("", t)
     digits = sum(c.isdigit() for c in t)
-    out = ["bias", f"shape={_shape(t)}", f"digits={_bucket(digits)}", f"letters={_bucket(sum(c.isalpha() for c in t))}"]
-    out += [f"has={c}" for c in "@.+-()=%/:" if c in t]
+    letters = sum(c.isalpha() for c in t)
+    out = ["bias", f"shape={_shape(t)}", f"core={_shape(core)}", f"digits={_bucket(digits)}", f"letters={_bucket(letters)}", f"both={digits > 0}{letters > 0}"]
+    out += [f"has={c}" for c in "@.+-()=%/:\"'$#" if c in t]
     out.append(f"start={_shape(t[0])}")
+    if len(core) >= 12 and _HEX.match(core) and letters:
+        out.append(f"hex={_bucket(len(core))}")
+    if digits >= 14 and digits <= 19 and letters == 0:
+        out.append(f"luhn={luhn(re.sub(r'[^0-9]', '', t))}")
+    if _QUAD.match(core):
+        out.append(f"quad={all(len(p.lstrip('0')) <= 3 and int(p.lstrip('0') or 0) <= 255 for p in core.split('.'))}")
+    if not digits and core in STREETS:
+        out.append("street")
+    words = _before(text, a)
+    out += [f"before{k}={w}" for k, w in enumerate(words)]
+    if any(w in _INTRODUCES for w in words):
+        out.append("introduced")
+    for inside in re.split(r"[=:]", t)[:-1]:
+        if _EDGE.sub("", inside).lower() in _INTRODUCES:
+            out.append("introduced")
     for step in (-1, 1):
         near = i + step
         beside = 0 <= near < len(tokens) and adjacent(text, tokens, min(i, near))
         out.append(f"beside{step}={_shape(text[slice(*tokens[near])]) if beside else 'other'}")
-    return out
+    return list(dict.fromkeys(out))
+
+
+_INTRODUCES = frozenset(SECRET_CUES)
 
 
 def adjacent(text: str, tokens: list[tuple[int, int]], i: int) -> bool:
@@ -158,6 +256,110 @@ def skips(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Maker:
+    """Documents with entities of known labels."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def _hex(self, n: int) -> str:
+        return "".join(self.rng.choice("0123456789abcdef") for _ in range(n))
+
+    def _word(self) -> str:
+        return "".join(self.rng.choice(("ba", "ler", "min", "to", "ra", "ken", "so", "vi", "del", "an")) for _ in range(self.rng.randint(1, 3)))
+
+    def _card(self, valid: bool) -> str:
+        n = self.rng.choice((15, 16, 16, 16, 19))
+        d = [str(self.rng.randrange(10)) for _ in range(n - 1)]
+        right = next(c for c in "0123456789" if luhn("".join(d) + c))
+        d.append(right if valid else str((int(right) + self.rng.randint(1, 9)) % 10))
+        return "".join(d) if n != 16 or self.rng.random() < 0.6 else self.rng.choice((" ", "-")).join("".join(d[i : i + 4]) for i in range(0, 16, 4))
+
+    def entity(self) -> tuple[str, list[tuple[str, int]], str]:
+        """(words before it, its tokens with labels, a shorter mention or the same again)."""
+        r = self.rng
+        kind = r.choice((EMAIL, IP, CARD, PHONE, SECRET, SECRET, NAME, NAME, ADDRESS))
+        if kind == EMAIL:
+            name = f"{self._word()}{r.choice(('', '.', '_'))}{r.randrange(100)}"
+            whole = f"{name}@{self._word()}{r.randrange(10)}.{r.choice(('example.com', 'org', 'net', 'co.uk'))}"
+            return "", [(whole, EMAIL)], r.choice((whole, f"{name}@{self._word()}"))
+        if kind == IP:
+            v = ".".join(str(r.randrange(256)) for _ in range(4))
+            return "", [(v, IP)], v
+        if kind == CARD:
+            v = self._card(True)
+            return "", [(x, CARD) for x in v.split(" ")], v
+        if kind == PHONE:
+            area, rest = f"({r.randrange(1000):03d})", f"{r.choice(('555', str(r.randint(200, 999))))}-{r.randrange(10_000):04d}"
+            lead = [f"+{r.randint(1, 99)}"] if r.random() < 0.7 else []
+            return "", [(x, PHONE) for x in (*lead, area, rest)], f"{area} {rest}"
+        if kind == SECRET:
+            v = r.choice((self._hex(40), self._hex(32), self._hex(64), "".join(r.choice("ABCDEFGHKLMNPQRSTabcdefghkmnpqrst23456789") for _ in range(r.randint(16, 40)))))
+            cue = r.choice(SECRET_CUES)
+            cue = cue if r.random() < 0.6 else cue.upper()
+            quoted = r.choice((f'"{v}"', v, f"'{v}'"))
+            if r.random() < 0.25:
+                return "", [(f"{cue}={quoted}", SECRET)], v
+            return f"{cue} {r.choice(('=', ':', 'is', '=>'))} ", [(quoted, SECRET)], v
+        if kind == NAME:
+            first, last = self._word().capitalize() + "n", self._word().capitalize() + "s"
+            cue = r.choice(("my name is", "Name:", "Mr.", "Mrs.", "Ms.", "Dr.", "Dear", "contact", "signed", "regards"))
+            return f"{cue} ", [(first, NAME), (last, NAME)], r.choice((first, last))
+        number = f"{r.randint(1, 999)}{r.choice(('', '', 'B'))}"
+        return "", [(number, ADDRESS), (self._word().capitalize() + "n", ADDRESS), (r.choice(STREETS), ADDRESS)], ""
+
+    def other(self) -> str:
+        """What looks like personal data and is none."""
+        r = self.rng
+        return r.choice((
+            lambda: f"{r.randint(0, 12)}.{r.randint(0, 20)}.", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 30)}", lambda: str(r.randint(1900, 2030)),
+            lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: self._card(False), lambda: self._card(False), lambda: f"{r.randint(1, 999)},{r.randrange(1000):03d}",
+            lambda: f"{r.randint(256, 999)}.{r.randrange(999)}.{r.randrange(999)}.{r.randrange(999)}", lambda: f"#{r.randrange(10**6)}", lambda: f"{r.choice(PLAIN_CUES)} {self._hex(r.choice((32, 40)))}",
+            lambda: f"{r.choice(PLAIN_CUES)}: {self._hex(r.choice((8, 32, 40, 64)))}", lambda: f"{r.randrange(24)}:{r.randrange(60):02d}", lambda: f"${r.randrange(1000)}.{r.randrange(100):02d}", lambda: f"{r.randrange(100)}%",
+            lambda: f"{r.randint(1, 999)}", lambda: f"({r.randint(1, 99)})", lambda: f"{r.randint(1, 9)}", lambda: f"@{self._word()}", lambda: f"{self._word()}{r.randrange(100)}", lambda: f"{r.randrange(10)}-{r.randrange(10)}",
+            lambda: f"name {self._word()}", lambda: f"contact {self._word()} {self._word()}", lambda: f"{r.choice(SECRET_CUES)} {r.choice(('of', 'in', 'for'))} {r.randint(1, 99)}", lambda: f"{r.choice(SECRET_CUES)} = {r.randint(1, 99)}",
+        ))()
+
+    def document(self, words: list[str]) -> tuple[str, list[tuple[int, int, int]]]:
+        """Text, and (start, label, end) of the tokens of its entities."""
+        r = self.rng
+        pieces: list[list[tuple[str, int]]] = [[(w, 0)] for w in words]
+        for _ in range(r.randint(0, 4)):
+            lead, tokens, again = self.entity()
+            label = tokens[0][1]
+            noise = r.choice(("", "", "", "", ",", ".", "!!", "###"))
+            mentions = [[(w, 0) for w in lead.split()] + tokens[:-1] + [(tokens[-1][0] + noise, label)]]
+            if again:
+                mentions += [[(w, label) for w in again.split(" ")] for _ in range(r.choice((0, 0, 1, 2)))]
+            at = sorted(r.randint(0, len(pieces)) for _ in mentions)
+            for k, m in reversed(list(zip(at, mentions, strict=True))):
+                pieces.insert(k, m)
+        for _ in range(r.randint(0, 4)):
+            pieces.insert(r.randint(0, len(pieces)), [(w, 0) for w in self.other().split()])
+        out, spans, at = [], [], 0
+        for w, label in (x for p in pieces for x in p):
+            if label:
+                spans.append((at, label, at + len(w)))
+            out.append(w)
+            at += len(w) + 1
+        return " ".join(out), spans
+
+
+def made(texts: list[str], n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """``n`` made documents, with words of ``texts`` around the entities."""
+    maker = Maker(seed)
+    carriers = []
+    for text in texts:
+        own = [w for w in text[:4000].split() if not _MARK.search(w) and w.strip(".,;:!?") not in (*NAME_CUES, *STREETS)][:MADE_WORDS]
+        if own:
+            carriers.append(own)
+    carriers = carriers or [["lorem", "ipsum", "dolor", "sit", "amet"] * 4]
+    return [maker.document(carriers[i % len(carriers)]) for i in range(n)]
+
+
+MADE = 1500  #: made documents of a training
+
+
 @dataclass
 class Field:
     """The weights: of features, of neighbours, of skip edges (all log scale)."""
@@ -168,41 +370,46 @@ class Field:
     skip: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS),) * 2))
 
     @classmethod
-    def train(cls, texts: list[str], steps: int = 200) -> Field:
+    def train(cls, examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 150) -> Field:
+        """``examples``: texts with (start, label, end) of the tokens of their entities."""
         rows: list[list[str]] = []
         gold: list[int] = []
-        pairs: dict[str, list[tuple[int, int]]] = {"chain": [], "skip": []}
-        for text in texts:
+        chain: list[tuple[int, int]] = []
+        skip: list[tuple[int, int]] = []
+        for text, spans in examples:
             tokens = marked_tokens(text)
-            labels = token_labels(tokens, base_spans(text))
+            at = len(gold)
+            gold += token_labels(tokens, [(a, label - 1, b) for a, label, b in spans])
             rows += [features(text, tokens, i) for i in range(len(tokens))]
-            gold += labels
-            for i in range(len(tokens)):
-                if i + 1 < len(tokens) and adjacent(text, tokens, i):
-                    pairs["chain"].append((labels[i], labels[i + 1]))
-                else:  # the token beside it is held at "other"
-                    pairs["chain"].append((labels[i], 0))
-            pairs["skip"] += [(labels[i], labels[j]) for i, j in skips(text, tokens)]
+            chain += [(at + i, at + i + 1) for i in range(len(tokens) - 1) if adjacent(text, tokens, i)]
+            skip += [(at + i, at + j) for i, j in skips(text, tokens)]
         out = cls()
         if not rows:
             return out
-        counts = Counter(f for r in rows for f in r)
-        names = [f for f, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES]]
+        names = [f for f, _ in sorted(Counter(f for r in rows for f in r).items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES]]
         out.index = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(rows), len(names)))
+        n, k = len(rows), len(LABELS)
+        x = np.zeros((n, len(names)), np.float32)
         for i, r in enumerate(rows):
             x[i, [out.index[f] for f in r if f in out.index]] = 1
-        y = np.eye(len(LABELS))[gold]
-        w = np.zeros((len(names), len(LABELS)))
-        pace = np.full_like(w, 1e-8)
+        y = np.eye(k, dtype=np.float32)[gold]
+        a, b = (np.array(e, np.int64).reshape(-1, 2).T for e in (chain, skip))
+        w, c, s = np.zeros((len(names), k), np.float32), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+        pace = [np.full_like(p, 1e-8) for p in (w, c, s)]
         for _ in range(steps):
-            p = np.exp(x @ w - (x @ w).max(axis=1, keepdims=True))
+            logits = x @ w
+            for (i, j), table in ((a, c), (b, s)):
+                np.add.at(logits, i, y[j] @ table.T)  # the label of the one, given that of the other
+                np.add.at(logits, j, y[i] @ table)
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            grad = x.T @ (p - y) / len(rows) + 1e-4 * w
-            pace += grad**2
-            w -= 0.5 * grad / np.sqrt(pace)
-        out.weights = w
-        out.chain, out.skip = _lift(pairs["chain"], False), _lift(pairs["skip"], True)
+            off = (p - y) / n
+            gc = off[a[0]].T @ y[a[1]] + y[a[0]].T @ off[a[1]]
+            gs = off[b[0]].T @ y[b[1]] + y[b[0]].T @ off[b[1]]
+            for q, g, h in zip((w, c, s), (x.T @ off + 1e-4 * w, gc + 1e-4 * c, gs + gs.T + 1e-4 * s), pace, strict=True):
+                h += g**2
+                q -= 0.5 * g / np.sqrt(h)
+        out.weights, out.chain, out.skip = w.astype(float), c.astype(float), s.astype(float)
         return out
 
     def unary(self, text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
@@ -255,13 +462,20 @@ class Field:
         p = self.beliefs(text, tokens)
         best = p.argmax(axis=1)
         free = token_labels(tokens, base)
+        sure = [bool(k) and p[i, k] >= MIN_BELIEF for i, k in enumerate(best)]
+        for i in (*range(1, len(sure)), *range(len(sure) - 2, -1, -1)):  # parts of a span that is sure elsewhere
+            for near in (i - 1, i + 1):
+                if 0 <= near < len(sure) and sure[near] and best[near] == best[i] and p[i, best[i]] >= 0.5 and adjacent(text, tokens, min(i, near)):
+                    sure[i] = True
         out: list[tuple[int, int, int]] = []
         joins = -1
         for i, (a, b) in enumerate(tokens):
             k = int(best[i])
-            if not k or p[i, k] < MIN_BELIEF or free[i]:
+            if not sure[i] or free[i]:
                 joins = -1
                 continue
+            if k == SECRET and (cue := re.match(r"[\"']?\w+[\"']?[=:]", text[a:b])) and _EDGE.sub("", cue[0]).lower() in _INTRODUCES:
+                a += cue.end()  # the value alone
             while a < b and not text[a].isalnum() and text[a] not in "+(":
                 a += 1
             while a < b and not text[b - 1].isalnum() and text[b - 1] != ")":
@@ -277,22 +491,6 @@ class Field:
         return [s for s in out if not any(s[0] < e and b < s[2] for b, _, e in base)]
 
 
-def _lift(pairs: list[tuple[int, int]], both: bool) -> np.ndarray:
-    """Log of how much more often two labels meet than by chance. Skip edges
-    (``both`` ways) begin with the belief that they agree, counted as AGREE pairs a label."""
-    n = np.full((len(LABELS),) * 2, 0.5)
-    if both:
-        n += AGREE * np.eye(len(LABELS))
-    elif not pairs:
-        return np.zeros_like(n)
-    for a, b in pairs:
-        n[a, b] += 1
-        if both:
-            n[b, a] += 1
-    p = n / n.sum()
-    return np.clip(np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True))), -3, 3)
-
-
 def token_labels(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
     """The label of each token by the spans that overlap it, the first one's."""
     out = [0] * len(tokens)
@@ -308,14 +506,14 @@ def token_labels(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> Field:
-    """Fitted on ``sample`` documents that have marked tokens, the first by hash
-    among about DRAWN of all documents."""
+    """Fitted on made documents with the words of ``sample`` documents, the first
+    by hash among about DRAWN of all documents."""
     docs = id_text(df, id_col, text_col)
     share = DRAWN / max(docs.count(), 1)
     h = F.xxhash64("text")
-    drawn = docs.where((F.pmod(h, F.lit(1 << 32)) <= int(min(share, 1) * (1 << 32))) & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    some = drawn.select(h.alias("h"), "text").distinct().orderBy("h", "text").limit(sample)
-    return Field.train([r["text"] for r in some.collect()])
+    drawn = docs.where((F.pmod(h, F.lit(1 << 32)) <= int(min(share, 1) * (1 << 32))) & (F.length("text") <= SAMPLE_CHARS))
+    some = drawn.select(h.alias("h"), F.substring("text", 1, 4000).alias("text")).distinct().orderBy("h", "text").limit(sample)
+    return Field.train(made([r["text"] for r in some.collect()], MADE))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Field | None = None) -> DataFrame:
@@ -326,7 +524,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: F
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py() or ""
             base = base_spans(text)
-            more = model.added(text, base) if _MARK.search(text) else []
+            more = model.added(text, base)
             spans = sorted([(s, True) for s in base] + [(s, False) for s in more])
             yield key, [{"kind": KINDS[k], "start": a, "end": b, "pattern": p} for (a, k, b), p in spans]
 
@@ -341,8 +539,9 @@ def op5_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["pattern"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["pattern"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
     return find(documents(spark, sf_dir)).select(
-        "doc_id", *map(count, KINDS), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
-    )
+        "doc_id", *map(count, BASE), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS if k not in BASE),
+    )
 
 
 def sha256_of(spans: list[tuple[int, int, int]]) -> str:
