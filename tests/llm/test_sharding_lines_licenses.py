@@ -64,27 +64,39 @@ def test_licenses(spark):
     rows = [
         (1, filler + mit + filler), (2, "under the MIT-License. and Apache license"), (3, filler + most), (4, filler + " ".join(mit.split()[::2])),
         (5, None), (6, ""), (7, "GENERAL PUBLIC license general public mit license license"), (8, li.TEMPLATES["apache"] + filler * 5 + li.TEMPLATES["gpl"]),
+        (9, filler + "This work is\nlicensed under CC BY-NC 4.0.### " + filler), (10, "licensed under CC BY NC"), (11, filler * 60 + li.TEMPLATES["gpl/notice"] + ". " + filler * 60),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS places", "2 AS blocks")
     got = {r.doc_id: r for r in li.scan(df).collect()}
     found = {k: {b.template for b in r.blocks} for k, r in got.items()}
-    assert found[1] == {"mit"} and found[3] == {"mit"} and found[4] == set() and found[8] == {"apache", "gpl"} and found[5] == found[6] == set()
+    assert found[1] == {"mit"} and found[3] == {"mit"} and found[4] == set() and found[8] == {"apache", "gpl", "apache/notice"} and found[5] == found[6] == set()
+    assert "cc-by-nc/notice" in found[9] and found[10] == set() and found[11] == {"gpl/notice"} and got[11].n_words > 70_000
     assert [(p.first, p.label) for p in got[2].places] == [(2, "mit"), (5, "apache")] and got[5].n_words == 0
     assert [(p.first, p.label) for p in got[7].places] == [(0, "gpl"), (5, "mit")]
     assert li.scan(df.limit(0)).collect() == []
 
 
-def test_license_join_matches_brute_force():
+def test_license_join_matches_brute_force(monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
     for _ in range(200):
         templates = {str(k): " ".join(rng.sample(vocabulary, rng.randint(2, 12))) for k in range(4)}
         frequency = {w.encode(): rng.randint(0, 9) for w in vocabulary}
-        t = rng.choice([0.5, 0.8, 1.0])
+        t, whole = rng.choice([0.5, 0.8, 1.0]), rng.choice([0, 5])
+        monkeypatch.setattr(li, "WHOLE", whole)
         block = [rng.choice(vocabulary).encode() for _ in range(rng.randint(0, 30))]
         want = {}
         for k, text in templates.items():
             s = {w.encode() for w in text.split()}
-            if len(s & set(block)) >= t * len(s) - 1e-9:
+            if len(s & set(block)) >= (t * len(s) - 1e-9 if len(s) >= whole else len(s)):
                 want[k] = len(s & set(block)) / len(s)
         assert li.Index.of(templates, frequency, t).matches(block) == want
+
+
+def test_templates_are_met_in_the_documents(spark):
+    """The query's own table has notices: each is found, with its label."""
+    d = "/root/testdata/sf0.01"
+    got = li.op7_license_templates(spark, d).where("n_blocks > 0").collect()
+    assert len(got) >= 15 and {r.labels for r in got} >= {"apache", "cc-by-nc", "gpl", "mit"} and {r.score for r in got} == {1.0}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert all("CC BY-NC" in texts[r.doc_id] for r in got if r.labels == "cc-by-nc")
