@@ -2,6 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from tidemark.llm import _words
 from tidemark.llm import decontamination as d
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -48,8 +52,8 @@ def test_search_matches_brute_force(spark):
         for limit in (d.BLOCK_BYTES, 200):  # in one block, and in several
             got = {r.doc_id: tuple(r)[1:] for r in d.report(d.scan(df, bench, block_bytes=limit)).collect()}
             assert got == {k: brute(t, items) for k, t in docs}
-        kept = {r.doc_id for r in d.clean(df, bench).collect()}
-        assert kept == {k for k, t in docs if not brute(t, items)[4]}
+            kept = {r.doc_id for r in d.clean(df, bench, limit).collect()}
+            assert kept == {k for k, t in docs if not brute(t, items)[4]}
 
 
 def test_clean_judges_each_row_whatever_the_blocks(spark, monkeypatch):
@@ -62,14 +66,45 @@ def test_clean_judges_each_row_whatever_the_blocks(spark, monkeypatch):
         assert sorted(map(tuple, d.clean(df, bench).collect()), key=repr) == want
 
 
-def test_single_length_searches():
+def test_single_length_searches(monkeypatch):
     rng = random.Random(5)
     for _ in range(200):
+        monkeypatch.setattr(d, "SEGMENT", rng.choice([1, 3, 128]))
+        monkeypatch.setattr(_words, "CHUNK", rng.choice([4, 64, 1 << 18]))
         m = rng.randint(1, 5)
-        patterns = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(m)) for _ in range(rng.randint(1, 5))}
-        text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 40))]
-        want = [(i, tuple(text[i : i + m])) for i in range(len(text) - m + 1) if tuple(text[i : i + m]) in patterns]
-        assert sorted(d.WuManber(patterns).find(text)) == want
+        patterns = [" ".join(rng.choice("abc") for _ in range(m)) for _ in range(rng.randint(1, 5))]
+        texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 4))]
+        search = d.Searcher([(str(i), p) for i, p in enumerate(patterns)], window=m)
+        for text, (n, spans, items) in zip(texts, search.find(pa.array(texts)), strict=True):
+            w = text.split()
+            at = [i for i in range(len(w) - m + 1) if " ".join(w[i : i + m]) in patterns]
+            assert n == len(w) and sorted(spans) == [(i, i + m) for i in at]
+            assert items == {k for k, p in enumerate(patterns) if any(" ".join(w[i : i + m]) == p for i in at)}
+
+
+def test_equal_hashes_are_told_apart_by_their_words(monkeypatch):
+    """All windows in one bucket: only the comparison is left."""
+    monkeypatch.setattr(d, "_wholes", lambda h, first, m: np.zeros(len(first), np.uint64))
+    search = d.Searcher([("x", "a b c")], window=3)
+    assert [spans for _, spans, _ in search.find(pa.array(["z a b c", "z b c", "y b c a b c"]))] == [[(1, 4)], [], [(3, 6)]]
+
+
+def test_very_long_text_and_item(spark):
+    filler = " ".join(f"w{i % 997}" for i in range(150_000))
+    passage = " ".join(f"p{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{filler} {passage} {filler}"), (2, filler)], "doc_id long, text string")
+    bench = spark.createDataFrame([("x", passage), ("y", " ".join(f"q{i}" for i in range(200_000)))], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in d.report(d.scan(df, bench)).collect()}
+    assert got == {1: (300_012, 12, 1), 2: (150_000, 0, 0)}
+
+
+def test_memory_of_a_block_is_bounded():
+    """Bytes of the arrays that a worker holds, a byte of items."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200_000))
+    s = d.Searcher([(str(i), text[i * 12_000 : (i + 1) * 12_000]) for i in range(100)])
+    held = sum(x.nbytes for w in s.searches for x in (w.keys, w.first, w.owners, w.owned, w.shift)) + s.texts.nbytes + s.begin.nbytes
+    assert held < 8 * len(text)
 
 
 def test_empty_tables(spark):

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tidemark.llm import _words
 from tidemark.llm import jaccard as j
 from tidemark.llm.graph import components
 
@@ -15,7 +16,7 @@ def brute_set(text, n):
 
 @pytest.mark.parametrize("chunk", [8, 64, 2 << 20])
 def test_grams(monkeypatch, chunk):
-    monkeypatch.setattr(j, "_CHUNK", chunk)
+    monkeypatch.setattr(_words, "CHUNK", chunk)
     rng = random.Random(chunk)
     parts = ["the", "of", "É", "é", "A", "a", "\t", " ", "\n", "x y", "Zz", "  ", "ß", "\x1c", "日本"]
     for _ in range(40):

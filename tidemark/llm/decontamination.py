@@ -1,99 +1,169 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-The symbols are words. A search has all windows of one length m: the block of
-the last two words under the window looks up how far the window may move (m
-past a word that no window has, m - 1 past a pair that none has); a shift of 0
-leads to the bucket of windows that end in that block, of which those with the
-right first word are compared word by word.
-
-Benchmark items are read on the driver in blocks of a bounded size and shipped
-as a broadcast; documents pass once for each block (once in all for a benchmark
-of up to BLOCK_BYTES), in place, with no shuffle.
+The symbols are words, as 64-bit hashes. A search has all windows of one length m.
+Its shift table, addressed by a hash of the block of two words that ends at a place,
+says how far the place may move (m - 1 past a block that no window has); places are
+moved on many at once, in segments of the texts. A shift of 0 leads to the bucket:
+the hash of the whole window among the sorted hashes of all windows, so that many
+windows that end alike cost one search. What is found there is compared word by word
+with the window's text.
+
+Benchmark items are read on the driver in blocks of a bounded size and shipped as
+a broadcast of arrays, about five bytes in a worker's memory a byte of items (so 85
+MB for a block of BLOCK_BYTES). With one block, documents are read once, in place.
+With more, they are read once a block and a last time, never rewritten: what a block
+finds is kept by a digest of the text, which only texts with hits have a row for. Both
+ways give the same rows. An item lies in one block, so one of more than BLOCK_BYTES
+makes a larger one.
 
 Cases: null and empty texts have no words and are clean; items without words
 have no windows; an item of fewer than 10 words is one window; repeated items
-and rows each count; an item with a null id is named by the empty string; empty
-tables give clean documents or no rows; other columns are ignored.
+and rows each count, each row by its own text; an item with a null id is named by
+the empty string; empty tables give clean documents or no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
 
 from ._common import alnum_words, documents, id_text, map_arrow, stage, utf8
+from ._words import ALNUM, M1, mix, words_of
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+SEGMENT = 128  #: places that one search goes through
+BROADCAST_BYTES = 64 << 20  #: digests of texts with hits are shipped up to this size, beyond it joined by a shuffle
+
+
+def _pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the two words that end at each place."""
+    return mix(h[at - 1] * M1 + h[at])
+
+
+def _wholes(h: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the m words from each place on."""
+    out = h[first].copy()
+    for j in range(1, m):
+        out *= M1
+        out += h[first + j]
+    return mix(out + np.uint64(m))
 
 
 class WuManber:
-    """Occurrences of word sequences of one length."""
-
-    def __init__(self, patterns: Iterable[tuple[bytes, ...]]):
-        self.patterns = list(dict.fromkeys(patterns))
-        self.m = m = len(self.patterns[0])
-        #: last word of a block: word before it: shift. Of single words: shift at None.
-        self.shift: dict[bytes, dict] = {}
-        #: block that ends a pattern: first word: patterns
-        self.bucket: dict[tuple, dict[bytes, list[tuple]]] = {}
-        for p in self.patterns:
-            for end in range(m):
-                key = p[end - 1] if end else None
-                if m > 1 and not end:
-                    self.shift.setdefault(p[0], {}).setdefault("alone", m - 1)
-                    continue
-                by = self.shift.setdefault(p[end], {})
-                by[key] = min(by.get(key, m), m - 1 - end)
-            self.bucket.setdefault((p[-2] if m > 1 else None, p[-1]), {}).setdefault(p[0], []).append(p)
-
-    def find(self, words: list[bytes]) -> Iterable[tuple[int, tuple]]:
-        m, shift, bucket, n = self.m, self.shift.get, self.bucket, len(words)
-        pos, far = m - 1, max(1, m - 1)
-        pairs = m > 1
-        while pos < n:
-            by = shift(words[pos])
-            if by is None:
-                pos += m
-                continue
-            before = words[pos - 1] if pairs else None
-            step = by.get(before, far)
-            if step:
-                pos += step
-                continue
-            for p in bucket[before, words[pos]].get(words[pos - m + 1], ()):
-                if tuple(words[pos - m + 1 : pos + 1]) == p:
-                    yield pos - m + 1, p
-            pos += 1
+    """Occurrences of windows of m words. ``h``: hashes of the items' words, one
+    after another; ``first``: where windows begin; ``owner``: the item of each."""
+
+    def __init__(self, m: int, h: np.ndarray, first: np.ndarray, owner: np.ndarray):
+        self.m = m
+        whole = _wholes(h, first, m)
+        order = np.lexsort((owner, whole))
+        whole, first, owner = whole[order], first[order], owner[order]
+        new = np.concatenate([[True], whole[1:] != whole[:-1]])
+        self.keys = whole[new]  #: of the different windows
+        self.first = first[new].astype(np.int32)  #: where one of each is
+        other = np.concatenate([[True], owner[1:] != owner[:-1]]) | new
+        self.owners = owner[other].astype(np.int32)
+        self.owned = np.concatenate([np.flatnonzero(new[other]), [len(self.owners)]]).astype(np.int32)
+        bits = min(max(16, 2 + len(self.keys).bit_length()), 26)  # a few slots for each block of two words
+        self.mask = np.uint64((1 << bits) - 1)
+        self.shift = np.full(1 << bits, max(1, m - 1), np.uint8)
+        if m == 1:
+            self.shift[self._slot(h, first)] = 0
+        for end in range(1, m):  # the least shift of a block is written last
+            self.shift[self._slot(h, first + end)] = m - 1 - end
+
+    def _slot(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((mix(h[at]) if self.m == 1 else _pairs(h, at)) & self.mask).astype(np.int64)
+
+    def find(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows may be in texts that lie together (``counts`` words each),
+        by their hashes: first word and number of the window, in order."""
+        m = self.m
+        none = np.zeros(0, np.int64)
+        if not len(self.keys):
+            return none, none
+        ends = np.cumsum(counts)
+        start = ends - counts + m - 1  # where the first window of a text would end
+        cuts = np.maximum(0, -((start - ends) // SEGMENT))
+        at = np.repeat(start, cuts) + SEGMENT * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        stop = np.minimum(at + SEGMENT, np.repeat(ends, cuts))
+        hits = []
+        while len(at):
+            step = self.shift[self._slot(h, at)].astype(np.int64)
+            hits.append(at[step == 0])
+            at = at + np.maximum(step, 1)
+            on = at < stop
+            at, stop = at[on], stop[on]
+        found = np.sort(np.concatenate(hits)) - m + 1 if hits else none
+        if not len(found):
+            return none, none
+        whole = _wholes(h, found, m)
+        place = np.minimum(np.searchsorted(self.keys, whole), len(self.keys) - 1)
+        same = self.keys[place] == whole
+        return found[same], place[same]
 
 
 class Searcher:
     """All windows of a block of items, by length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.owners: dict[tuple, set[str]] = {}
-        for name, text in items:
-            words = alnum_words(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                self.owners.setdefault(tuple(words[i : i + window]), set()).add(name)
-        lengths: dict[int, list[tuple]] = {}
-        for p in self.owners:
-            lengths.setdefault(len(p), []).append(p)
-        self.searches = [WuManber(p) for _, p in sorted(lengths.items())]
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        spans, names = [], set()
-        for s in self.searches:
-            for start, p in s.find(words):
-                spans.append((start, start + s.m))
-                names |= self.owners[p]
-        return spans, names
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        self.names = [n for n, _ in items]
+        self.texts = pa.array([t for _, t in items], pa.large_string())
+        parts = list(words_of(self.texts, ALNUM))
+        h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+        counts = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)  #: of each item, among all words
+        length = np.minimum(counts, window)
+        self.searches = []
+        for m in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == m)
+            windows = counts[own] - m + 1
+            owner = np.repeat(own, windows)
+            first = self.begin[owner] + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            self.searches.append(WuManber(m, h, first, owner))
+        self._words: dict[int, list[bytes]] = {}
+
+    def _window(self, first: int, m: int) -> list[bytes]:
+        item = int(np.searchsorted(self.begin, first, side="right")) - 1
+        if item not in self._words:
+            if len(self._words) > 1000:
+                self._words.clear()
+            self._words[item] = alnum_words(self.texts[item].as_py().encode())
+        at = first - int(self.begin[item])
+        return self._words[item][at : at + m]
+
+    def find(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
+        """Words of each text, the spans of hit words and the items that have a window there."""
+        done = 0
+        for h, _, counts in words_of(texts, ALNUM):
+            ends = np.cumsum(counts)
+            by_text: dict[int, list[tuple[int, int, WuManber]]] = {}
+            for s in self.searches:
+                first, window = s.find(h, counts)
+                for text, a, w in zip(np.searchsorted(ends, first, side="right").tolist(), first.tolist(), window.tolist(), strict=True):
+                    by_text.setdefault(text, []).append((a, w, s))
+            for i, n in enumerate(counts.tolist()):
+                spans, items = [], set()
+                if i in by_text:
+                    words, start = alnum_words(texts[done + i].as_py().encode()), int(ends[i]) - n
+                    for a, w, s in by_text[i]:
+                        if words[a - start : a - start + s.m] == self._window(int(s.first[w]), s.m):
+                            spans.append((a - start, a - start + s.m))
+                            items.update(s.owners[s.owned[w] : s.owned[w + 1]].tolist())
+                yield n, spans, items
+            done += len(counts)
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -107,44 +177,93 @@ def covered(spans: list[tuple[int, int]]) -> int:
 _built: dict[str, Searcher] = {}
 
 
-def _searcher(token: str, held) -> Searcher:
-    """The searcher of a broadcast, built once in a Python worker."""
+def _searcher(token: str, held: Broadcast) -> Searcher:
+    """The searcher of a broadcast, loaded once in a Python worker."""
     if token not in _built:
         _built.clear()
-        _built[token] = Searcher(held.value)
+        _built[token] = held.value
     return _built[token]
 
 
-def scan(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (hit words, as flat start, end pairs) and items of every row."""
-    spark = df.sparkSession
+def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[str, Broadcast, int]]:
+    """A token and the shipped searcher of each block, and how many blocks there are."""
     items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text"), F.lit("")).alias("text")
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    docs = id_text(df, id_col, text_col).withColumns({"spans": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)")})
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    ship(spark)
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        held = spark.sparkContext.broadcast([(r["name"], r["text"].encode()) for r in own.collect()])
-        last = k == blocks - 1
+        # columns and not rows: rows as Python objects would take several times the block
+        t = own.distinct().toArrow()
+        searcher = Searcher(list(zip(t.column("name").to_pylist(), t.column("text").to_pylist(), strict=True)))
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast(searcher), blocks
+
+
+def _kept(df: DataFrame, token: str, held: Broadcast) -> DataFrame:
+    """key, spans and items of the texts (key, text) with hits."""
+
+    def rows(batch):
+        search = _searcher(token, held)
+        for key, (_, spans, items) in zip(batch.column(0).to_pylist(), search.find(batch.column(1)), strict=True):
+            if spans:
+                yield key, [x for s in spans for x in s], [search.names[i] for i in items]
+
+    return map_arrow(df, rows, "key string, spans array<int>, items array<string>", lambda r: 8 * len(r[1]))
+
+
+def _digest(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def _by_digest(df: DataFrame, text_col: str, blocks: Iterable[tuple[str, Broadcast, int]]) -> DataFrame:
+    """A row for each digest of a text with hits: what all blocks found."""
+    keyed = df.select(_digest(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    each = []
+    for token, held, _ in blocks:
+        each.append(stage(_kept(keyed, token, held).groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits"))
+        held.unpersist()
+    return reduce(DataFrame.unionByName, each).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
 
-        def rows(batch, token=uuid.uuid4().hex, held=held, last=last):
+def scan(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+    """doc_id, n_words, spans (hit words, as flat start, end pairs) and items of every row."""
+    blocks = _blocks(df.sparkSession, benchmark, block_bytes or BLOCK_BYTES)
+    token, held, count = next(blocks)
+    docs = id_text(df, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if count == 1:
+
+        def rows(batch):
             search = _searcher(token, held)
-            for key, raw, text, spans, names in zip(
-                batch.column(0).to_pylist(), batch.column(1), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True
-            ):
-                words = alnum_words(text)
-                found, more = search.find(words)
-                spans = spans + [x for s in found for x in s]
-                names = sorted({*names, *more})
-                yield (key, len(words), spans, names) if last else (key, raw.as_py(), spans, names)
+            for key, (n, spans, items) in zip(batch.column(0).to_pylist(), search.find(batch.column(1)), strict=True):
+                yield key, n, [x for s in spans for x in s], sorted({search.names[i] for i in items})
+
+        return map_arrow(docs, rows, f"doc_id {kind}, n_words long, spans array<int>, items array<string>", lambda r: 8 * len(r[2]))
+
+    def counted(batch):
+        for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            yield key, digest, len(alnum_words(text))
+
+    hits = stage(_by_digest(docs, "text", _chained((token, held, count), blocks)), "hits")
+    sizes = map_arrow(docs.select("doc_id", _digest("text").alias("k"), "text"), counted, f"doc_id {kind}, k string, n_words long")
+    joined = sizes.join(_small(hits), F.col("k") == F.col("key"), "left")
+    none = lambda t: F.expr(f"cast(array() as array<{t}>)")
+    return joined.select(
+        "doc_id", "n_words", F.coalesce("spans", none("int")).alias("spans"), F.coalesce(F.array_sort(F.array_distinct("items")), none("string")).alias("items")
+    )
+
+
+def _chained(first: tuple, rest: Iterator[tuple]) -> Iterator[tuple]:
+    yield first
+    yield from rest
 
-        if last:
-            return map_arrow(docs, rows, f"doc_id {kind}, n_words long, spans array<int>, items array<string>", lambda r: 8 * len(r[2]))
-        docs = stage(map_arrow(docs, rows, docs.schema, lambda r: len(r[1] or "") + 8 * len(r[2])), "scanned")
-    raise AssertionError
+
+def _small(hits: DataFrame) -> DataFrame:
+    """Shipped where its size, as counted, is bounded."""
+    size = hits.agg(F.sum(100 + 4 * F.size("spans")) if "spans" in hits.columns else F.count("*") * 100).first()[0] or 0
+    return F.broadcast(hits) if size <= BROADCAST_BYTES else hits
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -157,32 +276,22 @@ def report(found: DataFrame) -> DataFrame:
     return map_arrow(found, rows, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def clean(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``df`` (needs text) without any hit word; all its columns. Each
-    row is judged by its own text: what a block hits does not go on to the next."""
-    spark = df.sparkSession
-    items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text"), F.lit("")).alias("text")
-    )
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    ship(spark)
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        held = spark.sparkContext.broadcast([(r["name"], r["text"].encode()) for r in own.collect()])
+def clean(df: DataFrame, benchmark: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """The rows of ``df`` (needs text) without any hit word; all its columns.
+    Each row is judged by its own text, however many blocks there are."""
+    blocks = _blocks(df.sparkSession, benchmark, block_bytes or BLOCK_BYTES)
+    token, held, count = next(blocks)
+    if count > 1:
+        hits = stage(_by_digest(df, "text", _chained((token, held, count), blocks)).select("key"), "hits")
+        return df.join(_small(hits), _digest("text") == F.col("key"), "left_anti")
 
-        def kept(batches, token=uuid.uuid4().hex, held=held):
-            import pyarrow as pa
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _searcher(token, held)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([not spans for _, spans, _ in search.find(texts)], type=pa.bool_()))
 
-            search = _searcher(token, held)
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                yield batch.filter(pa.array([not search.find(alnum_words(t))[0] for t in utf8(batch.column(at))], type=pa.bool_()))
-
-        df = df.mapInArrow(kept, df.schema)
-        if k < blocks - 1:
-            df = stage(df, "clean")
-    return df
+    return df.mapInArrow(kept, df.schema)
 
 
 def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from tidemark.shipping import ship
 
 from ._common import documents, id_text, stage, trim
+from ._words import M1, M2, SPACED, mix, words_of
 from .graph import components
 
 SLOTS = 1 << 24  #: of the table of frequent grams: a byte each, shipped whole (16 MB)
@@ -57,63 +58,7 @@ BLOOM_WORDS = 1 << 20  #: 8 MB at most
 BROADCAST_BYTES = 64 << 20  #: up to this size (64 bytes a row) nodes are shipped to the sets, beyond it joined by a shuffle
 
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-#: ASCII in lower case; what parts words.
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15  #: odd, so that its powers can be divided by
-_CHUNK = 256 << 10  #: bytes that are hashed together
 COUNTED = 2 << 20  #: grams that are looked at together for repeats
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse (modulo 2**64), at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
-def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, length in bytes and text of every word of texts that lie one after
-    another in ``data``, each from its place in ``starts`` (strictly ascending)."""
-    data = _LOWER[data]
-    word = ~_SPACE[data]
-    before = np.concatenate([[False], word[:-1]])
-    before[starts] = False
-    begin = np.flatnonzero(word & ~before)
-    if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    after = np.concatenate([word[1:], [False]])
-    after[starts[1:] - 1] = False
-    end = np.flatnonzero(word & ~after) + 1
-    power, inverse = _powers_to(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
-    size = end - begin
-    return _mix((sums[end] - sums[begin]) * inverse[begin] + size.astype(np.uint64) * _M2), size, np.searchsorted(starts, begin, side="right") - 1
-
-
-def _cuts(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """A text in parts of about _CHUNK bytes, cut at spaces."""
-    while end - start > _CHUNK:
-        cut = start + _CHUNK
-        while cut < end and not _SPACE[data[cut]]:
-            cut += 1
-        yield start, cut
-        start = cut
-    yield start, end
 
 
 def _made(h: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
@@ -122,10 +67,10 @@ def _made(h: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
     m = len(h) - k + 1
     out, total = h[:m].copy(), size[:m].copy()
     for j in range(1, k):
-        out *= _M1
+        out *= M1
         out += h[j : m + j]
         total += size[j : m + j]
-    out = _mix(out + np.uint64(k)) >> np.uint64(8)
+    out = mix(out + np.uint64(k)) >> np.uint64(8)
     return out | (255 - np.minimum(total, 255)).astype(np.uint64) << np.uint64(56)
 
 
@@ -137,38 +82,18 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 def all_grams(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Distinct n-grams of each text of a string column, ascending. Words are
     ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than n are one gram; null is empty."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
-    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _CHUNK, side="right")) - 1)
-        if ends[j] - ends[i] > _CHUNK:  # a long text, alone
-            parts = [_word_hashes(data[a:b], np.zeros(1, np.int64)) for a, b in _cuts(data, int(ends[i]), int(ends[j]))]
-            h, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            counts = np.array([len(h)])
-        else:
-            at = ends[i:j] - ends[i]
-            full = np.flatnonzero(ends[i + 1 : j + 1] > ends[i:j])  # texts with bytes, whose starts differ
-            counts = np.zeros(j - i, np.int64)
-            h, size = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            if len(full):
-                h, size, text = _word_hashes(data[ends[i] : ends[j]], at[full])
-                counts[full] = np.bincount(text, minlength=len(full))
+    for h, size, counts in words_of(texts, SPACED):
         made = _made(h, size, n) if len(h) >= n else np.zeros(0, np.uint64)
         first = 0
         for c in counts.tolist():
             yield _distinct(made[first : first + c - n + 1] if c >= n else _made(h[first : first + c], size[first : first + c], c) if c else made[:0])
             first += c
-        i = j
 
 
 def set_key(values: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed longs."""
     with np.errstate(over="ignore"):
-        a, b = _mix(values).sum(dtype=np.uint64), _mix(values ^ _M2).sum(dtype=np.uint64)
+        a, b = mix(values).sum(dtype=np.uint64), mix(values ^ M2).sum(dtype=np.uint64)
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
