@@ -28,7 +28,9 @@ def test_tables_and_packets():
 def test_lost_and_doubled_packets():
     data = ts.mux(bytes(range(256)) * 20)
     packets = [data[i : i + 188] for i in range(0, len(data), 188)]
-    assert ts.demux(b"".join(packets[:5] + packets[6:])).continuity_errors == 1
+    lost = ts.demux(b"".join(packets[:5] + packets[6:]))
+    assert lost.continuity_errors == 1 and [u.broken for u in lost.units] == [True] + [False] * (len(lost.units) - 1)
+    assert not any(u.broken for u in ts.demux(data).units) and ts.demux(data[:-188]).units[-1].broken
     doubled = ts.demux(b"".join(packets[:6] + packets[5:]))
     assert doubled.continuity_errors == 0 and doubled.payload() == bytes(range(256)) * 20
     broken = bytearray(data)

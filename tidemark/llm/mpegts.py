@@ -126,6 +126,7 @@ class Unit:
     random_access: bool
     packet: int  #: number of the packet in which it starts
     data: bytes
+    broken: bool = False  #: packets of it are missing
 
 
 @dataclass
@@ -157,12 +158,13 @@ def demux(data: bytes) -> Stream:
     out.packets = n
 
     def close(pid: int) -> None:
-        at, rap, parts = pes.pop(pid)
+        at, rap, parts, broken = pes.pop(pid)
         b = b"".join(parts)
         if len(b) < 6 or b[:3] != b"\x00\x00\x01":
             return
         length = b[4] << 8 | b[5]
         if length:
+            broken = broken or len(b) < 6 + length
             b = b[: 6 + length]
         pts = dts = None
         start = 6
@@ -172,7 +174,7 @@ def demux(data: bytes) -> Stream:
                 pts = _stamp(b[9:14])
             if b[7] & 0xC0 == 0xC0 and b[8] >= 10:
                 dts = _stamp(b[14:19])
-        out.units.append(Unit(pid, pts, dts, rap, at, b[start:]))
+        out.units.append(Unit(pid, pts, dts, rap, at, b[start:], broken))
 
     def tables(pid: int, payload: bytes, starts: bool) -> None:
         held = sections.get(pid)
@@ -231,13 +233,15 @@ def demux(data: bytes) -> Stream:
                 repeated[pid] = True
                 continue
             out.continuity_errors += 1
+            if pid in pes:  # what was sent between is lost, of this unit at least
+                pes[pid][3] = True
         last_cc[pid] = cc
         repeated[pid] = False
         if pid in out.streams:
             if b1 & 0x40:
                 if pid in pes:
                     close(pid)
-                pes[pid] = [k, rap, [data[start : o + PACKET]]]
+                pes[pid] = [k, rap, [data[start : o + PACKET]], False]
             elif pid in pes:
                 pes[pid][2].append(data[start : o + PACKET])
         elif pid == 0 or pid in out.programs.values():
@@ -263,7 +267,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return stage(map_arrow(id_text(df, id_col, text_col), rows, f"doc_id {kind}, n_bytes long, media binary", lambda r: len(r[2])), "ts")
 
 
-UNIT = "struct<pid:int,pts:long,dts:long,random_access:boolean,packet:int,bytes:int>"
+UNIT = "struct<pid:int,pts:long,dts:long,random_access:boolean,packet:int,bytes:int,broken:boolean>"
 
 
 def parse(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
@@ -274,7 +278,7 @@ def parse(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> Da
     def rows(batch):
         for key, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = demux(media or b"")
-            units = [{"pid": u.pid, "pts": u.pts, "dts": u.dts, "random_access": u.random_access, "packet": u.packet, "bytes": len(u.data)} for u in s.units]
+            units = [{"pid": u.pid, "pts": u.pts, "dts": u.dts, "random_access": u.random_access, "packet": u.packet, "bytes": len(u.data), "broken": u.broken} for u in s.units]
             yield (
                 key, s.packets, s.sync_errors, s.continuity_errors, s.crc_errors, list(s.programs.items()),
                 [{"pid": p, "program": a, "type": t} for p, (a, t) in s.streams.items()], units,
