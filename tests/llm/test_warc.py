@@ -55,3 +55,17 @@ def test_damaged_and_empty(spark):
     with pytest.raises(Exception, match="segments are missing"):
         w.reassembled(w.parsed(df)).collect()
     assert w.parsed(df.limit(0)).collect() == []
+
+
+def test_ids_of_any_text(spark):
+    """Ids that would break a header, look like null, or hold what parts names."""
+    ids = ["null", None, "a\r\nWARC-Type: x", ">", "%0A", "é:/?", "", " pad "]
+    rows = [(k, "u", f"page {i}") for i, k in enumerate(ids)] + [("zz", "u", "page 0"), (None, "u", "page 1")]
+    got = w.told(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    want = [(k, digest(f"page {i}"), "response", None) for i, k in enumerate(ids)] + [("zz", digest("page 0"), "revisit", "null"), (None, digest("page 1"), "response", None)]
+    assert sorted(((r.page, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_empty_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert w.op9_warc_segments(spark, str(tmp_path)).collect() == []

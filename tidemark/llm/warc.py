@@ -9,13 +9,15 @@ their origin, ordered by segment number, their total length is verified, and
 the chunked framing is decoded.
 
 Records of one origin are all that meets in a task; whole archives are not
-needed. Records without continuation are not shuffled. Equal payloads are
-found by digest: a minimum per digest, combined before the shuffle.
+needed. In reading, records without continuation are not shuffled. Equal payloads
+are found by digest: a minimum per digest, combined before the shuffle. In writing,
+which rows are revisits comes to them by a join: html stays where it is while Spark
+ships the revisits (ids and digests), and moves once when they are too many for that.
 
 Cases: null html is an empty payload, of which there is a response too;
 equal rows (id and payload) are one record that gives as many rows, all of them
-responses if their id is the smallest; a null id is named "null" and is never
-the smallest; an empty table gives an empty table; other columns are ignored.
+responses if their id is the smallest; a null id is never the smallest; ids may be
+any text: names of records hold them percent-encoded, and a null id as no id at all; an empty table gives an empty table; other columns are ignored.
 A missing or doubled segment, a wrong total or bad framing raises ValueError in
 ``reassembled``'s strict mode, else marks the record as damaged.
 """
@@ -26,9 +28,10 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
@@ -47,7 +50,7 @@ def sha1_base32(data: bytes) -> str:
 
 def record_id(page: object, digest: str) -> str:
     """By id and payload: rows that repeat an id with another payload are other records."""
-    return f"<urn:warc:{digest}:{'null' if page is None else page}>"
+    return f"<urn:warc:{digest}>" if page is None else f"<urn:warc:{digest}:{quote(str(page), safe='')}>"
 
 
 def chunked(payload: bytes, chunk: int = CHUNK_BYTES) -> bytes:
@@ -94,7 +97,7 @@ def response(page: object, url: str | None, payload: bytes, segment: int = SEGME
     for n, at in enumerate(cuts, 1):
         part = block[at : at + segment]
         fields: dict[str, object] = {"WARC-Type": "response" if n == 1 else "continuation"}
-        fields["WARC-Record-ID"] = record_id(page, digest) if n == 1 else f"{record_id(page, digest)[:-1]}:segment:{n}>"
+        fields["WARC-Record-ID"] = record_id(page, digest) if n == 1 else f"{record_id(page, digest)[:-1]};segment={n}>"
         fields["WARC-Date"] = DATE
         fields["WARC-Target-URI"] = _clean(url)
         if len(cuts) > 1:
@@ -143,12 +146,12 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     firsts = base.where(F.octet_length("html") >= min_bytes).groupBy(F.col("digest").alias("d")).agg(F.struct(F.min("page")).alias("of"))
     # only the digest is joined with the texts' ids: a text goes on if it is a response
-    told = stage(
+    again = stage(
         base.select("page", "digest", F.octet_length("html").alias("n")).join(firsts, F.col("digest") == F.col("d"), "left")
         .where((F.col("n") >= min_bytes) & ~F.col("page").eqNullSafe(F.col("of.col1"))).select(F.struct("page", "digest").alias("p"), F.col("of.col1").alias("of")).distinct(),
         "revisits",
     )
-    marked = base.join(told, F.struct("page", "digest").eqNullSafe(F.col("p")), "left").select(
+    marked = base.join(again, F.struct("page", "digest").eqNullSafe(F.col("p")), "left").select(
         "page", "url", F.when(F.col("p").isNull(), F.col("html")).alias("html"), "digest", "of", F.col("p").isNotNull().alias("again")
     )
 
@@ -251,27 +254,37 @@ def reassembled(parts: DataFrame, strict: bool = True) -> DataFrame:
     return map_arrow(whole.unionByName(split), rows, "record string, type string, refers string, digest string, payload binary, damaged string", lambda r: len(r[4] or b""))
 
 
-def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    got = reassembled(parsed(archives(pages)))
+def page_of(record: str, kind: str) -> Column:
+    """The id, of type ``kind``, in the name of a record (a column); null if it has none."""
+    inside = F.regexp_extract(record, "^<urn:warc:[A-Z2-7]*:([^>]*)>$", 1)
+    return F.when(F.col(record).rlike("^<urn:warc:[A-Z2-7]*:"), F.url_decode(inside)).try_cast(kind)
+
+
+def told(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page, payload_bytes, payload_digest, record_type and refers_to of every row
+    of ``pages``, as read back from the archives that are written of them."""
+    got = reassembled(parsed(archives(pages, id_col, url_col, html_col)))
 
     def rows(batch):
         for name, type_, refers, digest, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             yield name, type_, refers, sha1_base32(payload) if payload is not None else digest, None if payload is None else len(payload)
 
     read = stage(map_arrow(got.select("record", "type", "refers", "digest", "payload"), rows, "record string, type string, refers string, digest string, n long"), "read")
-    kind = pages.schema["page_id"].dataType.simpleString()
-    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:warc:[A-Z2-7]*:(.*)>$', 1) AS {kind})")
+    kind = pages.schema[id_col].dataType.simpleString()
     sized = read.where("type = 'response'").select(F.col("record").alias("r"), F.col("n").alias("rn")).distinct()
     out = read.where("type = 'response'").withColumn("rn", F.col("n")).unionByName(
         read.where("type = 'revisit'").join(sized, F.col("refers") == F.col("r")).select(*read.columns, "rn")
     )
     return out.select(
-        page("record").alias("page_id"), F.col("rn").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-        F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", page("refers")).alias("refers_to"),
+        page_of("record", kind).alias("page"), F.col("rn").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", page_of("refers", kind)).alias("refers_to"),
     )
 
 
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("page", "page_id")
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 b AS (SELECT page_id, h, x, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(x, CAST(i AS INTEGER), 1)) - 1), 4, '0')), '') AS bits,
