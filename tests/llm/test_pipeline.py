@@ -37,6 +37,7 @@ def test_stages(spark, tmp_path):
     assert abs(sum(words.values()) - sum(goal.values())) < 0.15 * sum(goal.values())
 
     last = inputs[5].collect()
+    assert sorted((r.doc_id, r.text) for r in last) == sorted(rows[4]) and set(docs.columns) < set(inputs[5].columns)
     assert len(last) == len(rows[4]) and {r.shard for r in last} <= set(range(16))
     for k in range(16):
         own = sorted(r.slot for r in last if r.shard == k)

@@ -8,8 +8,10 @@ many blocks, whole passes over all blocks first. A document takes the words
 that it has in the blocks picked.
 
 Only totals go to the driver: a row a source, and at most MAX_SHARDS plus one a
-source for shards. Texts are read once; what is shuffled is a row of about 40
-bytes a document, dealt by (source, shard), so a hot source is spread.
+source for shards. For a mix, texts are read once; what is shuffled is a row of about
+40 bytes a document, dealt by (source, shard), so a hot source is spread. ``copies``,
+which returns the documents themselves, reads texts a second time and moves them
+once, to where their takes are.
 
 Cases: null and empty texts have size 0 and take 0; a null source counts as a
 source of its own, last in order; ties and repeated rows are interchangeable;

@@ -29,8 +29,8 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard and slot."""
-    return sharding.place(docs)
+    """Every row with its size, checksum, shard and slot, stored in this order: what can be written as the mixed corpus."""
+    return sharding.place(docs, keep=[c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "shard", "slot")])
 
 
 STAGES = [
