@@ -151,3 +151,17 @@ def test_query(spark):
         more = [s for s in r.spans if not s.pattern]
         assert not any(s.start < e and b < s.end for s in more for b, _, e in own)
     assert pii.find(df.limit(0)).collect() == []
+
+
+def test_registered_query(spark):
+    """Counts and digests are those of the spans told, of every document."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = pii.op5_skip_chain_pii(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = brute(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(pii.BASE[x] == k for _, x, _ in base) for k in pii.BASE]
+        assert r.base_sha256 == pii.sha256_of(base)
+        told = [x.split(":") for x in r.spans.split(",") if x]
+        assert r.n_spans == len(told) >= len(base) and {(int(a), pii.KINDS.index(k), int(b)) for k, a, b in told} >= set(base)
+        assert [r[f"n_{k}"] for k in pii.KINDS[4:]] == [sum(x[0] == k for x in told) for k in pii.KINDS[4:]]

@@ -538,9 +538,10 @@ def op5_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["pattern"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["pattern"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+    every = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return find(documents(spark, sf_dir)).select(
         "doc_id", *map(count, BASE), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
-        F.size("spans").cast("long").alias("n_spans"), *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS if k not in BASE),
+        F.size("spans").cast("long").alias("n_spans"), *(every(k) for k in KINDS if k not in BASE),
     )
 
 
