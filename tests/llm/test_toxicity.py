@@ -13,19 +13,17 @@ def test_search_is_exact(monkeypatch):
     monkeypatch.setattr(t, "BLOCK", 4)
     monkeypatch.setattr(t, "FIRST", 2)
     for trial in range(300):
-        monkeypatch.setattr(t, "MAY", rng.choice([0, 3, 100]))
-        monkeypatch.setattr(t, "REST", rng.choice([0.0, 0.2, 0.9]))
+        monkeypatch.setattr(t, "TOGETHER", rng.choice([1, 30, 10_000]))
         vectors = []
         for _ in range(rng.randint(0, 120)):
             own = rng.sample(range(12), rng.randint(0, 6))
             vectors.append((np.array(own, np.int64), np.array([rng.choice([0.1, 0.5, rng.random()]) for _ in own])))
         index = t.Index(vectors, 14)
-        for _ in range(4):
-            own = rng.sample(range(14), rng.randint(0, 8))
-            q = {x: rng.random() ** 3 for x in own}
-            k = rng.randint(1, 20)
+        queries = [{x: rng.random() ** 3 for x in rng.sample(range(14), rng.randint(0, 8))} for _ in range(5)]
+        k = rng.randint(1, 20)
+        found = index.nearest_of([(np.array(list(q), np.int64), np.array(list(q.values()))) for q in queries], k)
+        for q, got in zip(queries, found, strict=True):
             want = sorted(((-round(sum(q.get(int(x), 0) * w for x, w in zip(*v, strict=True)), 10), i) for i, v in enumerate(vectors) if q.keys() & set(v[0].tolist())))[:k]
-            got = index.nearest(np.array(list(q), np.int64), np.array(list(q.values())), k)
             assert len(got) == len(want) and all(abs(s + w) < 2e-9 for (s, _), (w, _) in zip(got, want, strict=True)), (trial, got, want)
             assert len({i for _, i in got}) == len(got)
 
@@ -114,7 +112,8 @@ def test_held_out_recall_at_sf01():
         n[terms.set_of(w)] += 1
     sizes = {y: sum(labels[i] == y for _, i in known) for y in (0, 1)}
     model = t.fitted(terms, np.log(1 + len(docs) / (1 + n)), [words[i] for i in chosen], [labels[i] for i in chosen], sizes, chosen)
-    scores = {i: model.score(model.near(*terms.counts(words[i]))) for i in labels if i in words and held(i)}
+    own = [i for i in labels if i in words and held(i)]
+    scores = {i: model.score(near) for i, near in zip(own, model.index.nearest_of([model.vector(*terms.counts(words[i])) for i in own]), strict=True)}
     toxic = [i for i in scores if labels[i]]
     assert len(toxic) > 80
     assert sum(scores[i] >= 0.5 for i in toxic) / len(toxic) >= 0.9

@@ -33,7 +33,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +50,10 @@ SURE = 10.0  #: the likelihood ratio at which a term has half of its lean, befor
 NEAREST = 15
 BLOCK = 32  #: examples of a block
 FIRST = 4  #: blocks that are looked at before any can be passed over
-REST = 0.2  #: share of a query's greatest sum that its weakest terms may make together
-MAY = 100  #: vectors that these may still lift; above, fewer terms are left to the end
+OFTEN = 24  #: a term that more than one in so many examples have has its postings in a matrix
+TOGETHER = 200_000  #: blocks of postings of the queries that are searched together
 FOLDS = 5  #: rows with crc32(id) mod FOLDS = 0 are held out; the others are calibrated in as many folds
 STEMS = (5,)  #: bytes of the word beginnings
-MEMO = 200_000  #: words whose terms a task remembers
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -74,12 +73,18 @@ class Index:
         self.blocks = -(-self.n // BLOCK)
         sizes = np.array([len(vectors[i][0]) for i in self.order], np.int64)
         at = np.repeat(np.arange(self.n), sizes)
-        #: the vectors themselves, in order, for exact sums
-        self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.terms = np.concatenate([vectors[i][0] for i in self.order]).astype(np.int32) if self.n else np.zeros(0, np.int32)
-        self.weights = np.concatenate([vectors[i][1] for i in self.order]) if self.n else np.zeros(0)
-        by = np.argsort(self.terms, kind="stable")
-        term, self.at, self.weight = self.terms[by].astype(np.int64), at[by].astype(np.int32), self.weights[by]
+        term = np.concatenate([vectors[i][0] for i in self.order]) if self.n else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in self.order]) if self.n else np.zeros(0)
+        # terms that many examples have: their postings are rows of a matrix
+        self.row = np.full(terms, -1)
+        often = np.flatnonzero(np.bincount(term, minlength=terms) > max(1, self.n // OFTEN))
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.blocks * BLOCK))
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], at[dense]] = weight[dense]
+        at, term, weight = at[~dense], term[~dense], weight[~dense]
+        by = np.argsort(term, kind="stable")
+        term, self.at, self.weight = term[by], at[by].astype(np.int32), weight[by]
         own = term * max(self.blocks, 1) + self.at // BLOCK
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
         #: of each block of a term's postings: where it starts, which block it is, its greatest weight
@@ -87,74 +92,60 @@ class Index:
         self.block = (own[first] % max(self.blocks, 1)).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.entry = np.searchsorted(term[first], np.arange(terms + 1))
-        #: the greatest weight of a term
-        self.top = np.zeros(terms)
-        np.maximum.at(self.top, term, self.weight)
-        self.asked = np.zeros(terms)  # the query's weights while it searches
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
-        """The k vectors of greatest cosine above 0, best first, earlier ones first
-        among equals. Exact: terms that together cannot add more than ``rest`` are
-        left to the end, and are summed only for vectors that they could still lift."""
-        most = weights * self.top[terms]
-        turn = np.argsort(-most, kind="stable")
-        turn = turn[: np.count_nonzero(most)]
-        if not len(turn):
-            return []
-        terms, weights = terms[turn], weights[turn]
-        below = np.cumsum(most[turn][::-1])[::-1]  # of each term and those after it
-        cut, eps = int(np.searchsorted(-below, -REST * below[0])), 1e-9
-        while True:
-            rest = float(below[cut]) if cut < len(below) else 0.0
-            scores, floor = self._blocks(terms[:cut], weights[:cut], rest, k)
-            able = scores + rest >= floor - eps
-            able &= (scores > 0) | (rest > 0)
-            if cut >= len(terms) or np.count_nonzero(able) <= MAY:
-                break
-            cut = min(len(terms), 4 * cut + 1)
-        found = np.flatnonzero(able)
-        self.asked[terms] = weights
-        posts = _spans(self.begin[found], self.begin[found + 1])
-        sums = np.concatenate([[0.0], np.cumsum(self.asked[self.terms[posts]] * self.weights[posts])]) if len(found) else np.zeros(1)
-        self.asked[terms] = 0.0
-        ends = np.cumsum(self.begin[found + 1] - self.begin[found])
-        exact = sums[ends] - sums[np.concatenate([[0], ends[:-1]])] if len(found) else np.zeros(0)
-        best = sorted((-round(float(s), 10), int(self.order[i])) for s, i in zip(exact, found, strict=True) if s > eps)[:k]
-        return [(-s, i) for s, i in best]
-
-    def _blocks(self, terms: np.ndarray, weights: np.ndarray, rest: float, k: int) -> tuple[np.ndarray, float]:
-        """Sums over these terms for all vectors of the blocks that may hold one of
-        the k best, and what the k-th best has at least."""
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[list[tuple[float, int]]]:
+        """Of each query the k vectors of greatest cosine above 0, best first, earlier ones first among equals. Exact."""
+        out: list[list[tuple[float, int]]] = []
+        sizes = [int((self.entry[t + 1] - self.entry[t]).sum()) for t, _ in queries]
+        at = 0
+        while at < len(queries):  # as many together as have TOGETHER blocks of postings
+            end, held = at + 1, sizes[at]
+            while end < len(queries) and end - at < 64 and held + sizes[end] <= TOGETHER:
+                held += sizes[end]
+                end += 1
+            out += self._search(queries[at:end], k)
+            at = end
+        return out
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        count, blocks, n = len(queries), self.blocks, self.blocks * BLOCK
+        if not n or not any(len(t) for t, _ in queries):
+            return [[] for _ in queries]
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        query, row = np.repeat(np.arange(count), [len(t) for t, _ in queries]), self.row[terms]
+        asked = np.zeros((count, len(self.rows)))
+        asked[query[row >= 0], row[row >= 0]] = weights[row >= 0]
+        scores = asked @ self.rows
         a, b = self.entry[terms], self.entry[terms + 1]
-        entries = _spans(a, b)
-        own, block = np.repeat(weights, b - a), self.block[entries]
-        bound = np.bincount(block, own * self.most[entries], self.blocks) + rest
-        turn = np.argsort(-bound, kind="stable")
-        scores, floor = np.zeros(self.n), 0.0
-        for chosen in (turn[:FIRST], turn[FIRST:]):
-            chosen = chosen[bound[chosen] >= floor - 1e-9]
-            seen = np.zeros(self.blocks, bool)
-            seen[chosen] = True
-            mine = seen[block]
+        entries, own = _spans(a, b), np.repeat(weights, b - a)
+        query = np.repeat(query, b - a)
+        block = query * blocks + self.block[entries]
+        # what a block can have at most: of the terms in the matrix by what its examples have, of the others by their greatest weights
+        bound = scores.reshape(count, blocks, BLOCK).max(axis=2) + np.bincount(block, own * self.most[entries], count * blocks).reshape(count, blocks)
+        turn = np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, :FIRST]
+        now = np.zeros((count, blocks), bool)
+        np.put_along_axis(now, turn, True, axis=1)
+        eps = 1e-9
+        floor = np.full((count, 1), eps)
+        for rest in (True, False):
+            mine = now.ravel()[block]
             s, e = self.start[entries[mine]], self.start[entries[mine] + 1]
             posts = _spans(s, e)
-            scores += np.bincount(self.at[posts], self.weight[posts] * np.repeat(own[mine], e - s), self.n)
-            if self.n > k:
-                floor = float(np.partition(scores, self.n - k)[self.n - k])
-        return scores, floor
-
-
-class _Memo(dict):
-    """Numbers of the terms of words, of those seen last."""
-
-    def __init__(self, of):
-        self.of = of
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = got = self.of(word)
-        return got
+            at = np.repeat(query[mine] * n, e - s) + self.at[posts]
+            scores += np.bincount(at, self.weight[posts] * np.repeat(own[mine], e - s), count * n).reshape(count, n)
+            if n > k:
+                floor = np.maximum(np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1], eps)
+            if rest:  # blocks that may still reach the k-th best
+                now = (bound >= floor - eps) & ~now
+        out = []
+        for i in range(count):
+            found = np.flatnonzero(scores[i, : self.n] >= floor[i] - eps * (floor[i] > eps))
+            best = sorted((-round(float(x), 10), int(o)) for x, o in zip(scores[i][found], self.order[found], strict=True))[:k]
+            out.append([(-x, o) for x, o in best])
+        return out
 
 
 class Terms:
@@ -163,18 +154,10 @@ class Terms:
     def __init__(self):
         self.words: dict[bytes, int] = {}
         self.stems: dict[bytes, int] = {}
-        self.memo = _Memo(self._of)
 
     def __len__(self) -> int:
         return len(self.words) + len(self.stems)
 
-    def __getstate__(self) -> tuple:
-        return self.words, self.stems
-
-    def __setstate__(self, state: tuple) -> None:
-        self.words, self.stems = state
-        self.memo = _Memo(self._of)
-
     def learn(self, words: set[bytes]) -> None:
         for w in words:
             if w not in self.words:
@@ -183,29 +166,34 @@ class Terms:
                 if len(w) >= n and w[:n] not in self.stems:
                     self.stems[w[:n]] = len(self)
 
-    def _of(self, word: bytes) -> tuple[int, ...]:
-        own = [self.words.get(word), *(self.stems.get(word[:n]) for n in STEMS if len(word) >= n)]
-        return tuple(t for t in own if t is not None)
-
     def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and how often each is there."""
         times = Counter(words)
-        own = list(map(self.memo.__getitem__, times))
-        flat = np.fromiter(chain.from_iterable(own), np.int64)
-        each = np.repeat(np.fromiter(times.values(), np.float64, len(times)), np.fromiter(map(len, own), np.int64, len(own)))
-        terms, back = np.unique(flat, return_inverse=True)
-        return terms, np.bincount(back, each, len(terms))
+        each = np.fromiter(times.values(), np.float64, len(times))
+        terms = [np.fromiter(map(self.words.get, times, repeat(-1)), np.int64, len(times))]
+        terms += [np.fromiter(map(self.stems.get, [w[:n] for w in times], repeat(-1)), np.int64, len(times)) for n in STEMS]
+        found, back = np.unique(np.concatenate(terms), return_inverse=True)
+        n = np.bincount(back, np.tile(each, len(terms)), len(found))
+        unknown = int(len(found) and found[0] < 0)
+        return found[unknown:], n[unknown:]
 
     def set_of(self, words: list[bytes]) -> np.ndarray:
         """Terms of a text, each once."""
-        has = set(chain.from_iterable(map(self.memo.__getitem__, set(words))))
+        own = set(words)
+        has = {self.words.get(w, -1) for w in own}
+        for n in STEMS:
+            has.update(map(self.stems.get, {w[:n] for w in own}, repeat(-1)))
+        has.discard(-1)
         return np.fromiter(has, np.int64, len(has))
 
-    def name(self, numbers: list[int]) -> list[str]:
-        wanted = set(numbers)
-        told = {i: w.decode("utf-8", "replace") for w, i in self.words.items() if i in wanted}
-        told |= {i: w.decode("utf-8", "replace") + "-" for w, i in self.stems.items() if i in wanted}
-        return [told[i] for i in numbers]
+    def names(self) -> list[bytes]:
+        """The word of each number; of a beginning with a hyphen."""
+        out = [b""] * len(self)
+        for w, i in self.words.items():
+            out[i] = w
+        for w, i in self.stems.items():
+            out[i] = w + b"-"
+        return out
 
 
 def leans(have: np.ndarray, total: tuple[int, int]) -> np.ndarray:
@@ -242,8 +230,8 @@ class Model:
         terms, w = terms[w > 0], w[w > 0]
         return terms, w / math.sqrt((w * w).sum()) if len(w) else w
 
-    def near(self, terms: np.ndarray, counts: np.ndarray) -> list[tuple[float, int]]:
-        return self.index.nearest(*self.vector(terms, counts))
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return self.vector(*self.terms.counts(alnum_words(text)))
 
     def raw(self, near: list[tuple[float, int]]) -> float:
         votes = [(self.stands[self.labels[i]] / (1.05 - s), self.labels[i]) for s, i in near]
@@ -326,8 +314,9 @@ def fitted(terms: Terms, idf: np.ndarray, texts: list[list[bytes]], labels: list
     for fold in range(FOLDS):
         others = [i for i in range(len(labels)) if i % FOLDS != fold]
         part = Model(terms, idf, [counts[i] for i in others], [labels[i] for i in others], stands, [])
-        for i in range(fold, len(labels), FOLDS):
-            if near := part.near(*counts[i]):
+        own = range(fold, len(labels), FOLDS)
+        for i, near in zip(own, part.index.nearest_of([part.vector(*counts[i]) for i in own]), strict=True):
+            if near:
                 points.append((part.raw(near), float(labels[i]), stands[labels[i]]))
     steps = isotonic(points)
     # beyond the middle of the outer pools scores go on half of the way to 0 and 1
@@ -372,6 +361,19 @@ def _held(token: str, shipped):
     return _models[token]
 
 
+def _names(token: str, shipped) -> list[bytes]:
+    if f"{token}-names" not in _models:
+        model = _held(token, shipped)
+        _models[f"{token}-names"] = model.terms.names()
+    return _models[f"{token}-names"]
+
+
+def _searched(m: Model, texts: Iterator[bytes]) -> tuple[list, list]:
+    """Vectors of the texts, and their nearest examples."""
+    vectors = [m.of(t) for t in texts]
+    return vectors, m.index.nearest_of(vectors)
+
+
 SHOWN = 8  #: terms of greatest weight that are told with a score
 EVIDENCE = "array<struct<example:string,cosine:double,toxic:int>>"
 
@@ -383,15 +385,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shipped, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def rows(batch):
-        m = _held(token, shipped)
-        known: dict[int, str] = {}
-        for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            t, w = m.vector(*m.terms.counts(alnum_words(text)))
-            near = m.index.nearest(t, w)
+        m, names = _held(token, shipped), _names(token, shipped)
+        for key, (t, w), near in zip(batch.column(0).to_pylist(), *_searched(m, utf8(batch.column(1))), strict=True):
             top = t[np.lexsort((t, -w))[:SHOWN]].tolist()
-            if new := [x for x in top if x not in known]:
-                known.update(zip(new, m.terms.name(new), strict=True))
-            yield key, m.score(near), [known[x] for x in top], [{"example": str(m.names[i]), "cosine": s, "toxic": m.labels[i]} for s, i in near]
+            yield key, m.score(near), [names[x].decode("utf-8", "replace") for x in top], [{"example": str(m.names[i]), "cosine": s, "toxic": m.labels[i]} for s, i in near]
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(id_text(docs, id_col, text_col), rows, f"doc_id {kind}, score double, terms array<string>, evidence {EVIDENCE}", lambda r: 40 * len(r[3]))
@@ -406,7 +403,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
         m = _held(token, shipped)
         for batch in batches:
             texts = utf8(batch.column(batch.schema.get_field_index("text")))
-            yield batch.filter(pa.array([m.score(m.near(*m.terms.counts(alnum_words(t)))) < threshold for t in texts], type=pa.bool_()))
+            yield batch.filter(pa.array([m.score(near) < threshold for near in _searched(m, texts)[1]], type=pa.bool_()))
         trim()
 
     return docs.mapInArrow(kept, docs.schema)
