@@ -25,6 +25,7 @@ class Options:
     max_batch_rows: int = 1024  #: of rows given as Python objects
     hot_threshold: int = 3  #: reads of a base cell before it is kept in memory
     hot_bytes: int = 3 << 30
+    cell_task_bytes: int = 256 << 20  #: a sink gives a cell a task for each so many bytes
     key_broadcast_bytes: int = 8 << 20  #: hot keys are broadcast up to this size (by manifest statistics)
 
     def __post_init__(self) -> None:

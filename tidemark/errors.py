@@ -35,6 +35,12 @@ class LookupUnavailable(TidemarkError):
     retryable = True
 
 
+class WriterFenced(TidemarkError):
+    """Another writer has the table: this one must not publish any more."""
+
+    status = "SHUTTING_DOWN"
+
+
 class NotSupported(TidemarkError):
     status = "NOT_SUPPORTED"
 

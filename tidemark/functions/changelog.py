@@ -20,21 +20,26 @@ def is_delete(kind: Column) -> Column:
     )
 
 
-def changes(df: DataFrame, spec: TableSpec, start: int, kind_col: str | None = None, order_by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a changelog batch as they are stored: ``spec.stored()``.
-
-    Sequences begin at ``start`` and follow ``order_by`` (a total order of the
-    batch; a later change of a key wins), or else the order of the rows as they
-    are read. A null in a key or a not-null column of a put is an error. Deletes
-    keep the key only. Columns other than the table's are refused."""
+def ordered(df: DataFrame, spec: TableSpec, kind_col: str | None = None, order_by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a changelog batch in the order of their sequences. Columns other than the table's are refused."""
     known = {*spec.columns, *([kind_col] if kind_col else []), *order_by}
     if missing := [c for c in spec.columns if c not in df.columns]:
         raise BadRequest(f"a write needs whole rows; missing: {missing}")
     if unknown := [c for c in df.columns if c not in known]:
         raise BadRequest(f"unknown columns: {unknown}")
-    gone = is_delete(F.col(kind_col)) if kind_col else F.lit(False)
     rows = df.orderBy(*order_by) if order_by else df
-    rows = rows.withColumns({"_seq": F.monotonically_increasing_id() + F.lit(start), "_deleted": gone})
+    return rows.withColumn("_place", F.monotonically_increasing_id())
+
+
+def changes(rows: DataFrame, spec: TableSpec, starts: DataFrame, kind_col: str | None = None) -> DataFrame:
+    """``ordered`` rows as they are stored: ``spec.stored()``.
+
+    ``starts`` says at which sequence each partition (_part) of ``rows`` begins, so
+    sequences are contiguous over all. A null in a key or a not-null column of a put
+    is an error. Deletes keep the key only."""
+    gone = is_delete(F.col(kind_col)) if kind_col else F.lit(False)
+    rows = rows.withColumns({"_part": F.shiftright("_place", 33), "_deleted": gone}).join(F.broadcast(starts), "_part")
+    rows = rows.withColumn("_seq", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     cols = []
     for f in spec.schema.fields:
         kind = nullable(f.dataType)

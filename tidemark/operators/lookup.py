@@ -42,37 +42,48 @@ def _projected(t: Table, columns: Iterable[str] | None) -> list[str]:
 
 def get_local(t: Table, key: Mapping) -> tuple[str, Row | None]:
     """HIT with the row, DELETED or MISS, from the hot tier alone."""
-    rows = t.checked(lambda: t.hot(where=key_predicate(t.spec, key)))
+    with t.metrics.timed("get_local"):
+        where = key_predicate(t.spec, key)
+        rows = t.checked(lambda: t.hot(where=where, first=_first(t.spec, key))) if t.runs_within(_first(t.spec, key)) else []
     if not rows:
         return "MISS", None
     return ("DELETED", None) if rows[0]["_deleted"] else ("HIT", Row(**{c: rows[0][c] for c in t.spec.columns}))
 
 
+def _first(spec: TableSpec, key: Mapping) -> tuple[object, object]:
+    """Bounds of the first key column."""
+    v = key.get(spec.primary_key[0])
+    return v, v
+
+
 def get(t: Table, key: Mapping, columns: Iterable[str] | None = None) -> Row | None:
-    """The current row of a key. Only its cell of the base is read, and only if
-    the hot tier has no change of it."""
+    """The current row of a key. Only runs whose keys may hold it are read, then its
+    cell of the base, and only if the hot tier has no change of it."""
     columns = _projected(t, columns)
-    where = key_predicate(t.spec, key)
-    if t.m.runs:
-        rows = t.checked(lambda: t.hot(columns, where))
-        if rows:
-            return None if rows[0]["_deleted"] else Row(**{c: rows[0][c] for c in columns})
-    cell = t.cell_of(key)
-    t.touch([cell])
-    rows = t.checked(lambda: t.base([cell], columns).where(where).select(*columns))
+    where, first = key_predicate(t.spec, key), _first(t.spec, key)
+    with t.metrics.timed("get"):
+        if t.runs_within(first):
+            rows = t.checked(lambda: t.hot(columns, where, first))
+            if rows:
+                return None if rows[0]["_deleted"] else Row(**{c: rows[0][c] for c in columns})
+        cell = t.cell_of(key)
+        if cell not in t.m.base:
+            return None
+        t.touch([cell])
+        rows = t.checked(lambda: t.base([cell], columns).where(where).select(*columns))
     return rows[0] if rows else None
 
 
 def prefix_local(t: Table, key: Mapping, limit: float | None = None) -> list[Row]:
     """Live hot rows whose leading key columns have these values, in key order.
     More than ``limit`` of them is an error: no part of them is returned. ``math.inf`` is no limit."""
-    return _bounded(t, live(t.hot(where=key_predicate(t.spec, key, whole=False))).select(*t.spec.columns), limit)
+    return _bounded(t, live(t.hot(where=key_predicate(t.spec, key, whole=False), first=_first(t.spec, key))).select(*t.spec.columns), limit)
 
 
 def prefix(t: Table, key: Mapping, limit: int | None = None, columns: Iterable[str] | None = None) -> list[Row]:
     """The same over all tiers."""
     own = _projected(t, columns)
-    df = t.current(dict.fromkeys([*t.spec.primary_key, *own]), key_predicate(t.spec, key, whole=False), t.cells_below(key))
+    df = t.current(dict.fromkeys([*t.spec.primary_key, *own]), key_predicate(t.spec, key, whole=False), t.cells_below(key), _first(t.spec, key))
     return _bounded(t, df, limit, own)
 
 
@@ -95,7 +106,9 @@ def scan(t: Table, start: Mapping | None = None, end: Mapping | None = None, col
             c = _compared(t.spec, bound, above)
             where = c if where is None else where & c
     wide = list(dict.fromkeys([*t.spec.primary_key, *columns]))
-    df = live(t.hot(wide, where)).select(*wide) if local else t.current(wide, where)
+    lead = t.spec.primary_key[0]
+    first = ((start or {}).get(lead), (end or {}).get(lead))
+    df = live(t.hot(wide, where, first)).select(*wide) if local else t.current(wide, where, first=first)
     return df.orderBy(*t.spec.primary_key).select(*columns)
 
 
@@ -113,33 +126,44 @@ def _compared(spec: TableSpec, bound: Mapping, at_least: bool) -> Column:
 
 
 def get_many(t: Table, keys: DataFrame, columns: Iterable[str] | None = None, local: bool = False) -> DataFrame:
-    """Each row of ``keys`` with ``result`` (HIT, DELETED or MISS) and the values of hits: one job for any number of keys.
+    """Each row of ``keys`` with ``result`` (HIT, DELETED or MISS) and the values of hits: one plan for any number of keys.
 
     With ``local`` from the hot tier; else a hot change is final and other keys
-    are looked up in the base."""
-    columns = [c for c in _projected(t, columns) if c not in t.spec.primary_key]
-    if missing := [c for c in t.spec.primary_key if c not in keys.columns]:
+    are looked up in the base, of which only the cells are opened that the keys are
+    in (found by a job over the keys). Keys meet the hot tier and then the base, so
+    neither is merged with the other; both joins use one partitioning of the keys."""
+    own = list(t.spec.primary_key)
+    columns = [c for c in _projected(t, columns) if c not in own]
+    if missing := [c for c in own if c not in keys.columns]:
         raise BadRequest(f"keys need columns {missing}")
-    hot = t.hot(columns).select(*t.spec.primary_key, *columns, "_deleted")
+    if clash := [c for c in keys.columns if c in columns or c in ("result", "_deleted", "_there", "_base")]:
+        raise BadRequest(f"keys have columns of the result: {clash}")
+    hot = t.hot(columns).select(*own, *columns, "_deleted")
+    t.metrics.add("get_many")
     if local:
-        return tristate(keys, hot, t.spec.primary_key)
-    below = t.base(columns=columns).withColumn("_deleted", F.lit(False))
-    small = sum(r.bytes for r in t.m.runs) <= t.options.key_broadcast_bytes
-    own = hot.select(*t.spec.primary_key)
-    rest = below.join(F.broadcast(own) if small else own, list(t.spec.primary_key), "left_anti") if t.m.runs else below
-    return tristate(keys, hot.unionByName(rest), t.spec.primary_key)
+        return tristate(keys, hot, own)
+    cells = t.cells_of(keys)
+    t.metrics.add("cells_opened", len(cells))
+    below = t.base(cells, columns).select(*own, F.struct(F.lit(True).alias("there"), *columns).alias("_base"))
+    hot = hot.select(*own, F.struct(F.col("_deleted").alias("gone"), *columns).alias("_there"))
+    both = keys.join(hot, own, "left").join(below, own, "left")
+    result = F.when(F.col("_there.gone"), "DELETED").when(F.col("_there").isNotNull() | F.col("_base").isNotNull(), "HIT").otherwise("MISS")
+    value = lambda c: F.when(F.col("_there").isNull(), F.col(f"_base.{c}")).when(~F.col("_there.gone"), F.col(f"_there.{c}"))
+    return both.select(*keys.columns, result.alias("result"), *(value(c).alias(c) for c in columns))
 
 
 def lookup_join(
     facts: DataFrame, dim: Table | DataFrame, on: Mapping[str, str], how: str = "left", extra: Mapping[str, str] | None = None,
-    columns: Iterable[str] | None = None, spec: TableSpec | None = None, suffix: str = "",
+    columns: Iterable[str] | None = None, spec: TableSpec | None = None, suffix: str = "", prune: bool = False,
 ) -> DataFrame:
     """Each row of ``facts`` with at most one row of the dimension as it is now.
 
     ``on`` maps fact columns to all key columns of the dimension, in any order;
     ``extra`` maps fact columns to other columns, which must be equal too. Null
     keys match nothing; ``left`` keeps rows without a match, ``inner`` does not.
-    Dimension columns are named with ``suffix``. A dimension given as a DataFrame needs ``spec``."""
+    Dimension columns are named with ``suffix``. A dimension given as a DataFrame
+    needs ``spec``. ``prune``: find the cells of the facts' keys first, by a job over
+    the facts, and open no others (for few facts and a large dimension)."""
     if how not in ("left", "inner"):
         raise BadRequest("a lookup join is left or inner")
     spec = dim.spec if isinstance(dim, Table) else spec
@@ -157,7 +181,11 @@ def lookup_join(
         raise BadRequest(f"no such columns: {missing}")
     shown = list(spec.columns if columns is None else columns)
     wide = list(dict.fromkeys([*spec.primary_key, *extra.values(), *shown]))
-    rows = dim.current(wide) if isinstance(dim, Table) else dim.select(*wide)
+    if isinstance(dim, Table):
+        asked = facts.select(*(F.col(f).alias(d) for f, d in on.items())).dropna() if prune else None
+        rows = dim.current(wide, cells=None if asked is None else dim.cells_of(asked))
+    else:
+        rows = dim.select(*wide)
     rows = rows.select(*(F.col(c).alias(f"_dim_{c}") for c in wide))
     condition = reduce(lambda a, b: a & b, (facts[f] == rows[f"_dim_{d}"] for f, d in on.items()))
     for f, d in extra.items():

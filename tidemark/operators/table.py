@@ -12,13 +12,19 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Mapping
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark import StorageLevel
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import Options
-from tidemark.errors import BadRequest, LookupUnavailable, Overloaded, ShuttingDown
-from tidemark.functions.changelog import DELETES, PUTS, changes
+from tidemark.errors import BadRequest, LookupUnavailable, Overloaded, ShuttingDown, TidemarkError, WriterFenced
+from tidemark.functions.changelog import DELETES, PUTS, changes, ordered
+from tidemark.functions.hashing import cast, xxhash64
+from tidemark.metrics import Metrics
 from tidemark.plans import manifest as mf
 from tidemark.plans.manifest import FROZEN, NEW, OPEN, SINKED, Manifest, Run
 from tidemark.plans.merge import latest, live, overlay
@@ -39,6 +45,7 @@ class Table:
         self.closed = False
         self.reads: dict[str, int] = {}
         self.kept: dict[str, tuple[DataFrame, int]] = {}
+        self.metrics = Metrics()
 
     # -- opening ---------------------------------------------------------
 
@@ -49,10 +56,11 @@ class Table:
         return cls(store, spec, options, mf.publish(store, Manifest()))
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, spec: TableSpec | None = None, options: Options = Options(), fresh_writer: bool = False) -> Table:
+    def open(cls, spark: SparkSession, path: str, spec: TableSpec | None = None, options: Options = Options(), fresh_writer: bool = False, take_over: bool = False) -> Table:
         """Open for reading and writing; a sink that stopped between its phases
         is finished. ``fresh_writer``: forget the hot tier, keep the base (a new
-        writer for an existing base, with sequences from 1)."""
+        writer for an existing base, with sequences from 1). ``take_over``: be a new
+        writer of all that is there; the one before cannot publish any more."""
         store = Store(spark, path)
         if not store.exists("table.json"):
             raise BadRequest(f"no table at {path}")
@@ -66,7 +74,10 @@ class Table:
         if m is None:
             m = mf.publish(store, Manifest())
         if fresh_writer:
-            m = mf.publish(store, Manifest(version=m.version, base=m.base, base_bytes=m.base_bytes, commits=m.commits))
+            m = mf.publish(store, Manifest(version=m.version, base=m.base, base_sizes=m.base_sizes, commits=m.commits))
+        elif take_over:
+            m.writer_id = uuid.uuid4().hex
+            m = mf.publish(store, m)
         table = cls(store, own, options, m)
         if m.prepared:
             table.resume_sink()
@@ -84,6 +95,10 @@ class Table:
         return self
 
     def _publish(self) -> None:
+        """The next version, if this is still the writer of the last one."""
+        last = mf.load(self.store)
+        if last is not None and (last.writer_id != self.m.writer_id or last.version != self.m.version):
+            raise WriterFenced(f"version {last.version} is of writer {last.writer_id}, this one is at {self.m.version}: another writer has this table")
         self.m = mf.publish(self.store, self.m)
 
     # -- writing ---------------------------------------------------------
@@ -101,38 +116,31 @@ class Table:
         self._admit()
         if stream is not None and batch_id is not None and self.m.batches.get(stream, -1) >= batch_id:
             return self.m.next_seq - 1
-        name = f"b-{uuid.uuid4().hex}"
-        changes(df, self.spec, self.m.next_seq, kind_col, tuple(order_by)).write.parquet(self.store.at("hot", name))
-        run = self._run(name, OPEN, self.m.flushes, self.m.flushes)
-        if run.rows and run.max_seq != self.m.next_seq + run.rows - 1:
-            run = self._dense(run)
-        if run.rows:
-            self.m.runs.append(run)
-            self.m.next_seq = run.max_seq + 1
+        rows = ordered(df, self.spec, kind_col, tuple(order_by)).persist(StorageLevel.MEMORY_AND_DISK)  # counted, then written
+        try:
+            counts = rows.groupBy(F.shiftright("_place", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a row a partition
+            starts, at = [], self.m.next_seq
+            for r in counts:
+                starts.append((r["p"], at))
+                at += r["n"]
+            if starts:
+                stored = changes(rows, self.spec, self.spark.createDataFrame(starts, "_part long, _start long"), kind_col)
+                run = self._write(stored, f"b-{uuid.uuid4().hex}", OPEN, self.m.flushes, self.m.flushes)
+                if (run.rows, run.min_seq, run.max_seq) != (at - self.m.next_seq, self.m.next_seq, at - 1):
+                    raise TidemarkError("the batch gave other rows when it was read again")
+                self.m.runs.append(run)
+                self.m.next_seq = at
+        finally:
+            rows.unpersist()
         if stream is not None and batch_id is not None:
             self.m.batches[stream] = batch_id
         self._publish()
+        self.metrics.add("rows_written", at - starts[0][1] if starts else 0)
         waiting = self.m.of(OPEN)
         if sum(r.rows for r in waiting) >= self.options.freeze_rows or sum(r.bytes for r in waiting) >= self.options.freeze_bytes:
             self.freeze()
         return self.m.next_seq - 1
 
-    def _dense(self, run: Run) -> Run:
-        """A batch of several partitions again, with contiguous sequences in the
-        same order: each partition's rows follow those of the one before."""
-        written = self._read(self.store.at("hot", run.id)).withColumn("_part", F.shiftright(F.col("_seq") - F.lit(self.m.next_seq), 33))
-        parts = written.groupBy("_part").agg(F.count("*").alias("n"), F.min("_seq").alias("a")).orderBy("_part").collect()  # a row a partition
-        moves, at = [], self.m.next_seq
-        for r in parts:
-            moves.append((r["_part"], at - r["a"]))
-            at += r["n"]
-        by = self.spark.createDataFrame(moves, "_part long, _move long")
-        name = f"b-{uuid.uuid4().hex}"
-        moved = written.join(F.broadcast(by), "_part").withColumn("_seq", F.col("_seq") + F.col("_move"))
-        moved.select(*self.spec.stored().fieldNames()).write.parquet(self.store.at("hot", name))
-        self.store.delete("hot", run.id)
-        return self._run(name, OPEN, self.m.flushes, self.m.flushes)
-
     def write_batch(self, ops: Iterable[tuple[str, Mapping]]) -> int:
         """Changes as (kind, row) in order: +I and +U put a whole row, -D and -U
         delete its key. All are checked before anything is written; sequences are contiguous."""
@@ -177,15 +185,35 @@ class Table:
         return self.spark.read.schema(self.spec.stored()).parquet(*paths)
 
     def _runs(self, runs: Iterable[Run], columns: Iterable[str] | None = None) -> DataFrame:
-        paths = [self.store.at("hot", r.id) for r in runs]
+        runs = list(runs)
+        paths = [self.store.at("hot", r.id) for r in runs if not r.shift]
         df = self._read(*paths) if paths else self.spark.createDataFrame([], self.spec.stored())
+        if moved := [(r.id, r.shift) for r in runs if r.shift]:  # written by tasks that did not know where they begin
+            by = self.spark.createDataFrame(moved, "_run string, _shift long")
+            read = self._read(*(self.store.at("hot", i) for i, _ in moved)).withColumn("_run", F.regexp_extract("_metadata.file_path", "/hot/([^/]+)/", 1))
+            read = read.join(F.broadcast(by), "_run").withColumn("_seq", F.col("_seq") + F.col("_shift")).select(*self.spec.stored().fieldNames())
+            df = df.unionByName(read) if paths else read
         return df if columns is None else df.select(*dict.fromkeys([*self.spec.primary_key, *columns, "_seq", "_deleted"]))
 
-    def hot(self, columns: Iterable[str] | None = None, where: Column | None = None) -> DataFrame:
-        """The latest change of each hot key, deletes included; ``where`` is on key columns."""
-        df = self._runs(self.m.runs, columns)
+    def hot(self, columns: Iterable[str] | None = None, where: Column | None = None, first: tuple[object, object] | None = None) -> DataFrame:
+        """The latest change of each hot key, deletes included; ``where`` is on key
+        columns, ``first`` bounds the first one: runs that end before or begin after are not opened."""
+        df = self._runs(self.runs_within(first), columns)
         return latest(df if where is None else df.where(where), self.spec.primary_key)
 
+    def runs_within(self, first: tuple[object, object] | None) -> list[Run]:
+        """Runs that may have keys whose first column is from first[0] to first[1] (None: no bound)."""
+        kind = self.spec.schema[self.spec.primary_key[0]].dataType
+        if first is None or not isinstance(kind, (T.IntegerType, T.LongType, T.StringType)):
+            return self.m.runs
+        low, high = (v if v is None else cast(v, kind) for v in first)
+        out = []
+        for r in self.m.runs:
+            if r.min_key and r.max_key and (low is not None and r.max_key[0] < low or high is not None and r.min_key[0] > high):
+                continue
+            out.append(r)
+        return out
+
     def base(self, cells: Iterable[str] | None = None, columns: Iterable[str] | None = None) -> DataFrame:
         """Rows of the base, of all cells or just of some."""
         names = [c for c in (self.m.base if cells is None else cells) if c in self.m.base]
@@ -199,33 +227,60 @@ class Table:
             df = df.unionByName(p)
         return df if columns is None else df.select(*dict.fromkeys([*self.spec.primary_key, *columns]))
 
-    def current(self, columns: Iterable[str] | None = None, where: Column | None = None, cells: Iterable[str] | None = None) -> DataFrame:
+    def current(
+        self, columns: Iterable[str] | None = None, where: Column | None = None, cells: Iterable[str] | None = None, first: tuple[object, object] | None = None
+    ) -> DataFrame:
         """The current rows. ``where`` (on key columns) goes below the merge."""
         columns = list(self.spec.columns if columns is None else columns)
         base = self.base(cells, columns)
         if where is not None:
             base = base.where(where)
-        if not self.m.runs:
+        runs = self.runs_within(first)
+        if not runs:
             return base.select(*columns)
-        small = sum(r.bytes for r in self.m.runs) <= self.options.key_broadcast_bytes
-        return overlay(base, self.hot(columns, where), self.spec.primary_key, small).select(*columns)
+        small = sum(r.bytes for r in runs) <= self.options.key_broadcast_bytes
+        return overlay(base, self.hot(columns, where, first), self.spec.primary_key, small).select(*columns)
 
     def cell_of(self, key: Mapping) -> str:
-        """Cell of a whole key."""
+        """Cell of a whole key; without a job where its values are of the columns' own types."""
         kinds = {f.name: f.dataType for f in self.spec.schema.fields}
+        own = {c: cast(key[c], kinds[c]) for c in self.spec.primary_key}
+        part = self._partition_of(own)
+        if part is not None and all(v is not None for v in own.values()):
+            number = xxhash64((own[c], kinds[c]) for c in self.spec.bucket_by) % self.spec.buckets
+            return f"{part}/{number}"
         row = self.spark.range(1).select(*(F.lit(key[c]).cast(kinds[c]).alias(c) for c in self.spec.primary_key))
         return row.select(self._cell()).first()[0]
 
+    def _partition_of(self, key: Mapping) -> str | None:
+        """Partition of a key as its folder is named; None where only Spark's casts know."""
+        values = [key.get(c) for c in self.spec.partition_by]
+        if any(v is None or isinstance(v, datetime) or isinstance(v, str) and not v.isprintable() for v in values):
+            return None
+        return json.dumps([str(v) for v in values], ensure_ascii=False, separators=(",", ":"))
+
     def cells_below(self, key: Mapping) -> list[str] | None:
         """Cells of the base that rows with these leading key values can be in:
         those of one partition if the values fix it, else None (all)."""
         if not self.spec.partition_by or not set(self.spec.partition_by) <= set(key):
             return None
         kinds = {f.name: f.dataType for f in self.spec.schema.fields}
-        row = self.spark.range(1).select(*(F.lit(key[c]).cast(kinds[c]).alias(c) for c in self.spec.partition_by))
-        part = row.select(self._partition()).first()[0]
+        part = self._partition_of({c: cast(key[c], kinds[c]) for c in self.spec.partition_by})
+        if part is None:
+            row = self.spark.range(1).select(*(F.lit(key[c]).cast(kinds[c]).alias(c) for c in self.spec.partition_by))
+            part = row.select(self._partition()).first()[0]
         return [c for c in self.m.base if c.rpartition("/")[0] == part]
 
+    def cells_of(self, keys: DataFrame) -> list[str]:
+        """Cells of the base that the keys of ``keys`` (all key columns) can be in:
+        a row a cell reaches the driver, of cells that there are."""
+        if len(self.m.base) < 2:
+            return list(self.m.base)
+        kinds = {f.name: f.dataType for f in self.spec.schema.fields}
+        own = keys.select(*(F.col(c).cast(kinds[c]).alias(c) for c in self.spec.primary_key)).select(self._cell().alias("cell")).distinct()
+        there = self.spark.createDataFrame([(c,) for c in self.m.base], "cell string")
+        return [r[0] for r in own.join(there, "cell", "left_semi").collect()]
+
     def _partition(self) -> Column:
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.spec.partition_by]
         return F.to_json(F.array(*parts)) if parts else F.lit("[]")
@@ -244,7 +299,7 @@ class Table:
             if c in self.kept:
                 self.kept[c] = self.kept.pop(c)
             elif self.reads[c] >= self.options.hot_threshold:
-                sizes = sum(self.store.files("base", self.m.base[c]).values())
+                sizes = self.m.base_sizes.get(c, 0)
                 if sizes > self.options.hot_bytes:
                     continue
                 while self.kept and sum(b for _, b in self.kept.values()) + sizes > self.options.hot_bytes:
@@ -258,21 +313,27 @@ class Table:
             try:
                 return build().collect()
             except Exception as e:
-                if not any(x in str(e) for x in ("FileNotFound", "PATH_NOT_FOUND", "FAILED_READ_FILE", "does not exist")):
+                if not _missing_files(e):
                     raise
                 if not again:
                     raise LookupUnavailable(str(e).splitlines()[0]) from e
-                self.spark.catalog.clearCache()
+                for df, _ in self.kept.values():
+                    df.unpersist()
                 self.kept.clear()
+                self.metrics.add("repairs")
                 self.refresh()
         raise AssertionError
 
     # -- life of runs ----------------------------------------------------
 
-    def _run(self, name: str, state: str, flush_from: int, flush_to: int) -> Run:
+    def _write(self, df: DataFrame, name: str, state: str, flush_from: int, flush_to: int, **options: str) -> Run:
+        """Write changes as a run; its statistics are observed on the way."""
+        seen = Observation()
         low, high = F.min(F.struct(*self.spec.primary_key)), F.max(F.struct(*self.spec.primary_key))
-        got = self._read(self.store.at("hot", name)).agg(F.count("*").alias("n"), F.min("_seq").alias("a"), F.max("_seq").alias("b"), F.to_json(low).alias("x"), F.to_json(high).alias("y")).first()
-        ends = [list(json.loads(v).values()) if v else [] for v in (got["x"], got["y"])]
+        watched = df.observe(seen, F.count(F.lit(1)).alias("n"), F.min("_seq").alias("a"), F.max("_seq").alias("b"), F.to_json(low).alias("x"), F.to_json(high).alias("y"))
+        watched.write.options(**options).parquet(self.store.at("hot", name))
+        got = seen.get
+        ends = [list(json.loads(got[c]).values()) if got.get(c) else [] for c in ("x", "y")]
         return Run(name, state, flush_from, flush_to, got["a"] or 0, got["b"] or 0, got["n"], sum(self.store.files("hot", name).values()), mf.now(), *ends)
 
     def freeze(self) -> int:
@@ -289,8 +350,8 @@ class Table:
     def _merged(self, runs: list[Run], state: str) -> Run:
         name = f"r-{uuid.uuid4().hex}"
         one = latest(self._runs(runs), self.spec.primary_key)
-        one.sortWithinPartitions(*self.spec.primary_key).write.option("parquet.bloom.filter.enabled#" + self.spec.primary_key[-1], "true").parquet(self.store.at("hot", name))
-        run = self._run(name, state, runs[0].flush_from, runs[-1].flush_to)
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in self.spec.primary_key}
+        run = self._write(one.sortWithinPartitions(*self.spec.primary_key), name, state, runs[0].flush_from, runs[-1].flush_to, **blooms)
         run.written = min(r.written for r in runs)
         run.min_seq, run.max_seq = min(r.min_seq for r in runs), max(r.max_seq for r in runs)
         return run
@@ -338,14 +399,22 @@ class Table:
             return None
         commit = self.m.commits + 1
         name = f"c{commit:08d}-{uuid.uuid4().hex[:8]}"
-        changed = latest(self._runs(runs), self.spec.primary_key).withColumn("_cell", self._cell())
+        # merged once, and written, as both the cells and what is in them come of it
+        work = self.store.at("work", name)
+        latest(self._runs(runs), self.spec.primary_key).withColumn("_cell", self._cell()).write.parquet(work)
+        changed = self.spark.read.schema(T.StructType([*self.spec.stored().fields, T.StructField("_cell", T.StringType())])).parquet(work)
         cells = [r[0] for r in changed.select("_cell").distinct().collect()]  # no more than there are partitions times buckets
         ids = {c: i for i, c in enumerate(sorted(cells))}
-        number = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+        # a large cell is written by several tasks
+        slices = {c: 1 + self.m.base_sizes.get(c, 0) // self.options.cell_task_bytes for c in cells}
+        numbers = self.spark.createDataFrame([(c, i, slices[c]) for c, i in ids.items()], "_cell string, _c int, _slices long")
         before = self.base([c for c in cells if c in self.m.base]).withColumn("_cell", self._cell())
         small = sum(r.bytes for r in runs) <= self.options.key_broadcast_bytes
-        after = overlay(before, changed, self.spec.primary_key, small).withColumn("_c", number[F.col("_cell")]).drop("_cell")
-        after.repartition("_c").sortWithinPartitions("_c", *self.spec.primary_key).write.partitionBy("_c").parquet(self.store.at("base", name))
+        after = overlay(before, changed, self.spec.primary_key, small)
+        after = after.join(F.broadcast(numbers) if len(cells) <= 100_000 else numbers, "_cell").withColumn("_slice", F.pmod(F.xxhash64(*self.spec.primary_key), "_slices"))
+        dealt = after.repartition("_c", "_slice").sortWithinPartitions("_c", *self.spec.primary_key).select(*self.spec.columns, "_c")
+        dealt.write.partitionBy("_c").parquet(self.store.at("base", name))
+        self.store.delete("work", name)
         files = self.store.files("base", name)
         full = {int(f.partition("_c=")[2].partition("/")[0]) for f in files}
         self.m.prepared = {
@@ -363,17 +432,22 @@ class Table:
             return False
         if self.store.files("base", p["folder"]) != p["files"]:
             raise LookupUnavailable(f"files of commit {p['commit']} are missing or cut off")
+        sizes: dict[str, int] = {}
+        for f, n in p["files"].items():
+            folder = f"{p['folder']}/{f.partition('/')[0]}"
+            sizes[folder] = sizes.get(folder, 0) + n
         for cell, folder in p["cells"].items():
-            self.kept.pop(cell, (None,))
+            if cell in self.kept:
+                self.kept.pop(cell)[0].unpersist()
             self.reads.pop(cell, None)
             if folder is None:
                 self.m.base.pop(cell, None)
+                self.m.base_sizes.pop(cell, None)
             else:
-                self.m.base[cell] = folder
+                self.m.base[cell], self.m.base_sizes[cell] = folder, sizes[folder]
         for r in self.m.runs:
             if r.id in p["runs"]:
                 r.state = SINKED
-        self.m.base_bytes = sum(p["files"].values())
         self.m.persisted_seq = max(self.m.persisted_seq, p["max_seq"])
         self.m.commits, self.m.prepared = p["commit"], None
         self._publish()
@@ -399,6 +473,7 @@ class Table:
         """Delete files that the manifest does not name; readers of older versions must have ended."""
         hot = {r.id for r in self.m.runs}
         gone = [("hot", n) for n in self.store.names("hot") if n not in hot]
+        gone += [("work", n) for n in self.store.names("work")]
         used = set(self.m.base.values())
         staged = (self.m.prepared or {}).get("folder")
         for folder in self.store.names("base"):
@@ -462,6 +537,7 @@ class Table:
             "version": m.version, "writer_id": m.writer_id, "next_seq": m.next_seq, "frozen_seq": m.frozen_seq, "flushed_seq": m.flushed_seq,
             "persisted_seq": m.persisted_seq, "commits": m.commits, "base_cells": len(m.base), "sink_prepared": m.prepared is not None,
             "kept_cells": len(self.kept), "kept_bytes": sum(b for _, b in self.kept.values()), "closed": self.closed, "flush_fence": self.fences.flush, "sink_fence": self.fences.sink,
+            "base_bytes": m.base_bytes, "metrics": self.metrics.snapshot(),
         }
         for s in (OPEN, FROZEN, NEW, SINKED):
             runs = m.of(s)
@@ -481,4 +557,18 @@ class Table:
         return self.spec.to_json() | {"fingerprint": self.spec.fingerprint(), "max_batch_rows": self.options.max_batch_rows, "max_prefix_results": self.options.max_prefix_results}
 
 
+def _missing_files(e: Exception) -> bool:
+    """Is it that files are not there? By the error's class, or by its causes in the JVM."""
+    if isinstance(e, PySparkException) and (e.getCondition() or "").partition(".")[0] in ("PATH_NOT_FOUND", "FAILED_READ_FILE"):
+        return True
+    cause = getattr(e, "java_exception", None)
+    if cause is None:
+        return "FileNotFoundException" in str(e)
+    while cause is not None:
+        if cause.getClass().getName() in ("java.io.FileNotFoundException", "java.nio.file.NoSuchFileException"):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 __all__ = ["Table", "live"]

@@ -30,6 +30,7 @@ class Run:
     written: float
     min_key: list = field(default_factory=list)
     max_key: list = field(default_factory=list)
+    shift: int = 0  #: what the sequences in its files are less than the real ones
 
 
 @dataclass
@@ -44,10 +45,14 @@ class Manifest:
     commits: int = 0
     runs: list[Run] = field(default_factory=list)
     base: dict[str, str] = field(default_factory=dict)  #: cell (partition and bucket): folder of its one row a key
-    base_bytes: int = 0
+    base_sizes: dict[str, int] = field(default_factory=dict)  #: bytes of each cell
     prepared: dict | None = None  #: a sink between its two phases
     batches: dict[str, int] = field(default_factory=dict)  #: last batch of each stream
 
+    @property
+    def base_bytes(self) -> int:
+        return sum(self.base_sizes.values())
+
     def of(self, *states: str) -> list[Run]:
         return [r for r in self.runs if r.state in states]
 

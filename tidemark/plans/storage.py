@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import SparkSession
 
-from tidemark.errors import TidemarkError
+from tidemark.errors import WriterFenced
+
+CLAIM_SECONDS = 60
 
 
 class Store:
@@ -52,14 +56,46 @@ class Store:
             stream.close()
 
     def write_json(self, value: dict, *parts: str) -> None:
-        """All or nothing: written aside, then renamed; refuses to replace a file."""
-        to = self._path(self.at(*parts))
-        aside = self._path(self.at(*parts) + ".tmp")
-        out = self.fs.create(aside, True)
+        """All or nothing, and never in the place of another file: the name is
+        claimed by a file that only one can create, then the value is renamed into it."""
+        to, claim = self._path(self.at(*parts)), self.at(*parts) + ".claim"
+        aside = self._path(f"{self.at(*parts)}.tmp-{uuid.uuid4().hex}")
+        if self.fs.exists(to) or not self._claimed(claim):
+            raise WriterFenced(f"{to.toString()} is there already: another writer has this table")
         try:
-            out.write(bytearray(json.dumps(value).encode()))
-            out.hsync()
+            out = self.fs.create(aside, False)
+            try:
+                out.write(bytearray(json.dumps(value).encode()))
+                out.hsync()
+            finally:
+                out.close()
+            if self.fs.exists(to) or not self.fs.rename(aside, to):
+                raise WriterFenced(f"{to.toString()} is there already: another writer has this table")
         finally:
-            out.close()
-        if self.fs.exists(to) or not self.fs.rename(aside, to):
-            raise TidemarkError(f"{to.toString()} is there already: another writer has this table")
+            self.fs.delete(self._path(claim), False)
+
+    def _claimed(self, claim: str) -> bool:
+        """Create a file that is not there. A claim that its maker left CLAIM_SECONDS ago is void."""
+        path = self._path(claim)
+        for _ in range(2):
+            try:
+                if self.fs.getScheme() == "file":
+                    where = self.jvm.java.nio.file.Paths.get(path.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.jvm.java.lang.String, 0))
+                    self.jvm.java.nio.file.Files.createDirectories(where.getParent(), self._none("java.nio.file.attribute.FileAttribute"))
+                    self.jvm.java.nio.file.Files.createFile(where, self._none("java.nio.file.attribute.FileAttribute"))
+                else:
+                    self.fs.create(path, False).close()
+                return True
+            except Exception:
+                if not self.fs.exists(path):
+                    raise
+                if time.time() - self.fs.getFileStatus(path).getModificationTime() / 1000 < CLAIM_SECONDS:
+                    return False
+                self.fs.delete(path, False)
+        return False
+
+    def _none(self, kind: str):
+        cls = self.jvm
+        for part in kind.split("."):
+            cls = getattr(cls, part)
+        return self.spark.sparkContext._gateway.new_array(cls, 0)

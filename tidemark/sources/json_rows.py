@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.errors import BadRequest, NotSupported
+from tidemark.functions.keys import utc
 from tidemark.spec import TableSpec
 
 _DAY, _EPOCH = date(1970, 1, 1), datetime(1970, 1, 1)
@@ -78,8 +79,10 @@ def json_column(df: DataFrame, spec: TableSpec, name: str = "json") -> DataFrame
         c = F.col(f.name)
         if isinstance(f.dataType, T.DateType):
             c = F.unix_date(c)
-        elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            c = F.unix_millis(c.cast("timestamp"))
+        elif isinstance(f.dataType, T.TimestampType):
+            c = F.unix_millis(c)
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            c = F.unix_millis(utc(c))
         elif isinstance(f.dataType, T.BinaryType):
             c = F.base64(c)
         elif isinstance(f.dataType, T.DecimalType):

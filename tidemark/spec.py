@@ -101,10 +101,13 @@ class TableSpec:
     def values(self) -> list[str]:
         return [c for c in self.columns if c not in self.primary_key]
 
+    @property
+    def bucket_by(self) -> list[str]:
+        """The key columns that choose a row's bucket: those that do not choose its partition."""
+        return [c for c in self.primary_key if c not in self.partition_by] or list(self.primary_key)
+
     def bucket(self) -> Column:
-        """Bucket of a row, by the key columns that do not choose its partition."""
-        own = [c for c in self.primary_key if c not in self.partition_by] or list(self.primary_key)
-        return F.pmod(F.xxhash64(*own), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
     def stored(self) -> T.StructType:
         """Schema of changelog batches and runs: deletes carry only the key."""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
+from tidemark.config import retried
 from tidemark.operators.lookup import lookup_join
 from tidemark.operators.table import Table
 
@@ -20,7 +21,9 @@ def upsert_stream(
     skipped. In a batch, ``order_by`` says which change of a key is later."""
 
     def write(batch: DataFrame, number: int) -> None:
-        table.append(batch, kind_col, order_by, stream=name, batch_id=number)
+        if maintain:  # makes room, should an earlier batch have left too many runs
+            table.maintain()
+        retried(lambda: table.append(batch, kind_col, order_by, stream=name, batch_id=number), retries=10)
         if maintain:
             table.maintain()
 
@@ -31,9 +34,14 @@ def lookup_stream(
     stream: DataFrame, table: Table, on: Mapping[str, str], then: Callable[[DataFrame, int], None], checkpoint: str, how: str = "left", **options,
 ) -> DataStreamWriter:
     """A writer that joins each micro-batch with the table as it is when the
-    batch runs (its manifest is loaded each time) and hands the result to ``then``."""
+    batch runs (its manifest is loaded each time; only the cells of the batch's keys
+    are opened) and hands the result to ``then``. A base that cannot be read is tried again."""
 
     def each(batch: DataFrame, number: int) -> None:
-        then(lookup_join(batch, table.refresh(), on, how, **options), number)
+        kept = batch.persist()
+        try:
+            retried(lambda: then(lookup_join(kept, table.refresh(), on, how, prune=True, **options), number))
+        finally:
+            kept.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
