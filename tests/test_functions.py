@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 from tidemark.errors import BadRequest
 from tidemark.functions.changelog import is_delete
 from tidemark.functions.equality import equal
-from tidemark.functions.keys import encode_key, encoded, prefix_next
+from tidemark.functions.hashing import xxhash64
+from tidemark.functions.keys import decode_key, encode_key, encoded, prefix_next
+from tidemark.spec import TableSpec
 
 
 def test_golden_key_bytes(spark):
@@ -76,3 +78,21 @@ def test_change_kinds(spark):
     assert [r.d for r in df.select(is_delete(F.col("k")).alias("d")).collect()] == [False, False, True, True]
     with pytest.raises(Exception, match="unknown change kind"):
         spark.createDataFrame([("?",)], "k string").select(is_delete(F.col("k"))).collect()
+
+
+def test_hash_on_the_driver_is_that_of_plans(spark):
+    spec = TableSpec(T.StructType.fromDDL("a INT, b BIGINT, c STRING, d DATE, e TIMESTAMP_NTZ"), ("a", "b", "c", "d", "e"))
+    kinds = [f.dataType for f in spec.schema.fields]
+    rows = [(1, -5, "", dt.date(1969, 1, 1), dt.datetime(1960, 1, 1, 1, 2, 3, 456789)), (-7, 1 << 40, "é" * 50, dt.date(2024, 2, 29), dt.datetime(2024, 1, 1)), (0, 0, "x", dt.date(1970, 1, 1), dt.datetime(1970, 1, 1))]
+    got = [r[0] for r in spark.createDataFrame(rows, spec.schema).selectExpr("xxhash64(a, b, c, d, e)").collect()]
+    assert got == [xxhash64(zip(r, kinds, strict=True)) for r in rows]
+
+
+def test_keys_are_decoded():
+    schema = T.StructType.fromDDL("a STRING, b BIGINT, c DATE")
+    whole = bytes.fromhex("01" + "6162636465666768" + "FF" + "0000000000000000" + "F7" + "06" + "8000000000000005" + "09" + "80000001")
+    assert decode_key(whole, schema, ["a", "b", "c"]) == ("abcdefgh", 5, dt.date(1970, 1, 2))
+    assert decode_key(whole[:19], schema, ["a", "b", "c"]) == ("abcdefgh",)
+    for bad in (whole[:-1], whole[:10], b"\x02", whole + b"\0", b"\x01" + b"a" * 8 + b"\xf8"):
+        with pytest.raises(BadRequest):
+            decode_key(bad, schema, ["a", "b", "c"])

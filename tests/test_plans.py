@@ -39,7 +39,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("events", "orders", "customer"):
+    for t in ("events", "orders", "customer", "nation"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     build, sql = q.QUERIES[name]
     df = build(spark, SF)

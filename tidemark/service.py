@@ -61,6 +61,10 @@ class Service:
     def state(self) -> dict:
         return self.table.state()
 
+    def handshake(self) -> dict:
+        """Specification, fingerprint and limits."""
+        return self.table.describe()
+
     def call(self, name: str, *args) -> dict:
         """A call by name: its result, or the status and message of its error."""
         try:
