@@ -54,8 +54,3 @@ def tristate(keys: DataFrame, hot: DataFrame, key: Iterable[str]) -> DataFrame:
     marked = hot.withColumn("_there", F.lit(True))
     result = F.when(F.col("_there").isNull(), "MISS").when(F.col("_deleted"), "DELETED").otherwise("HIT")
     return keys.join(marked, key, "left").select(*keys.columns, result.alias("result"), *(F.when(~F.col("_deleted"), F.col(c)).alias(c) for c in rest))
-
-
-def run_statistics(df: DataFrame, by: Iterable[str], seq: str = "_seq") -> DataFrame:
-    """Entries and sequence bounds of each run."""
-    return df.groupBy(*by).agg(F.count("*").alias("entry_count"), F.min(seq).alias("min_seq"), F.max(seq).alias("max_seq"))

@@ -24,6 +24,7 @@ from tidemark.operators import lookup
 from tidemark.operators.scheduler import sink_selection
 from tidemark.operators.table import Table
 from tidemark.plans.merge import current, latest, tristate
+from tidemark.plans.storage import Store
 from tidemark.server import Server
 from tidemark.service import Service
 from tidemark.shipping import shared_dir
@@ -134,7 +135,22 @@ def projected_get(spark, d):
 LOOKED_UP = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, -1)  #: keys of point reads
 
 
-def _layered(spark, d, options: Options = Options()) -> Table:
+_built: dict[tuple, str] = {}
+
+
+def _shared(spark, d, name: str, build: Callable[[], Table]) -> Table:
+    """A table that several queries only read: built by the first of them in an application."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _built or not Store(spark, _built[at]).exists("table.json"):
+        _built[at] = build().store.root
+    return Table.open(spark, _built[at])
+
+
+def _layered(spark, d) -> Table:
+    return _shared(spark, d, "layered", lambda: _new_layered(spark, d))
+
+
+def _new_layered(spark, d, options: Options = Options()) -> Table:
     """A quarter of the changelog each: two in the base, one in a run, one in an open batch."""
     t = _table(spark, EVENTS, options)
     for i, b in enumerate(_batches(spark, d, 4)):
@@ -188,7 +204,7 @@ def bulk_local_get(spark, d):
 
 def candidate_runs(spark, d):
     """Which of four runs may hold a key, by the key ranges in the manifest."""
-    t = _filled(spark, d, 4)
+    t = _shared(spark, d, "four runs", lambda: _filled(spark, d, 4))
     at = {r.id: i for i, r in enumerate(t.m.runs)}
     rows = [(k, at[r.id]) for k in LOOKED_UP for r in t.runs_within((k, k))]
     return spark.createDataFrame(rows, "user_id long, run long")
@@ -201,7 +217,7 @@ def key_only_range(spark, d):
 
 def hot_cell_reads(spark, d):
     """Reads after their cells have been read so often that they are kept in memory."""
-    t = _layered(spark, d, Options(hot_threshold=1))
+    t = Table.open(spark, _layered(spark, d).store.root, options=Options(hot_threshold=1))
     for _ in range(2):
         rows = [lookup.get(t, {"user_id": k}) for k in LOOKED_UP]
     out = _events(spark, rows)
@@ -211,7 +227,7 @@ def hot_cell_reads(spark, d):
 
 def repaired_reads(spark, d):
     """A reader whose files have gone since it opened the table."""
-    t = _layered(spark, d)
+    t = _new_layered(spark, d)
     reader = Table.open(spark, t.store.root, EVENTS)
     t.sink_all()
     while t.evict():
@@ -282,7 +298,7 @@ def source_read(spark, d):
 
 def source_point_read(spark, d):
     register(spark)
-    return spark.read.format("tidemark").load(_layered(spark, d).store.root).where("user_id = 8").select("user_id", "event_id", "event_type", "value")
+    return spark.read.format("tidemark").load(_layered(spark, d).store.root).where("user_id = 13").select("user_id", "event_id", "event_type", "value")
 
 
 def source_write(spark, d):
@@ -348,9 +364,7 @@ def json_prefix(spark, d):
 
 def lookup_null_keys(spark, d):
     """Null keys match nothing, and rows that have them stay in a left join."""
-    t = _table(spark, CUSTOMERS)
-    t.append(_dimension(spark, d))
-    t.sink_all()
+    t = _shared(spark, d, "customers", lambda: _new_customers(spark, d))
     facts = _read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("k"))
     return lookup.lookup_join(facts, t, {"k": "c_custkey"}, "left", columns=["c_name"], prune=True).select("o_orderkey", "c_name")
 
@@ -444,6 +458,10 @@ def status_codes(spark, d):
 
 
 def _pairs(spark, d) -> Table:
+    return _shared(spark, d, "pairs", lambda: _new_pairs(spark, d))
+
+
+def _new_pairs(spark, d) -> Table:
     t = _table(spark, PAIRS)
     first, last = (b.select(*PAIRS.columns) for b in _batches(spark, d, 2))
     t.append(first, order_by=("event_id",))
@@ -471,10 +489,15 @@ def _dimension(spark, d) -> DataFrame:
     )
 
 
-def _looked_up(spark, d, how, extra=None):
+def _new_customers(spark, d) -> Table:
     t = _table(spark, CUSTOMERS)
     t.append(_dimension(spark, d))
     t.sink_all()
+    return t
+
+
+def _looked_up(spark, d, how, extra=None):
+    t = _shared(spark, d, "customers", lambda: _new_customers(spark, d))
     facts = _read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return lookup.lookup_join(facts, t, {"o_custkey": "c_custkey"}, how, extra, ["c_name", "last_status"])
 
@@ -546,12 +569,12 @@ def maintained_state(spark, d):
 
 def run_stats(spark, d):
     """Runs of a table of four flushed batches, from its manifest."""
-    return _filled(spark, d, 4).runs().select("entry_count", "min_seq", "max_seq")
+    return _shared(spark, d, "four runs", lambda: _filled(spark, d, 4)).runs().select("entry_count", "min_seq", "max_seq")
 
 
 def sink_prefix_selection(spark, d):
     """Runs that a sink takes: one at least however little it may, all if it may."""
-    t = _filled(spark, d, 4)
+    t = _shared(spark, d, "four runs", lambda: _filled(spark, d, 4))
     one, whole = (sink_selection(t.m, t.m.flushed_seq, most) for most in (1, 1 << 60))
     rows = [(case, r.rows, r.min_seq) for case, runs in (("least", one), ("most", whole)) for r in runs]
     return spark.createDataFrame(rows, "case string, entry_count long, min_seq long")
@@ -681,7 +704,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "delete_predicate": (delete_predicate, f"{_LIVE} AND user_id <> 7"),
     "source_read": (source_read, _LIVE),
-    "source_point_read": (source_point_read, f"SELECT * FROM ({_LE.format('')}) WHERE event_type <> 'error' AND user_id = 8"),
+    "source_point_read": (source_point_read, f"SELECT * FROM ({_LE.format('')}) WHERE event_type <> 'error' AND user_id = 13"),
     "source_write": (source_write, _LIVE),
     "buffered_upserts": (buffered_upserts, "SELECT c_custkey, c_name FROM customer"),
     "http_lookups": (http_lookups, _GOT),
