@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import types as T
 
 from tidemark.config import Options, retried
-from tidemark.errors import BadRequest, LookupUnavailable, NotSupported, Overloaded, SchemaMismatch, ShuttingDown
+from tidemark.errors import BadRequest, LookupUnavailable, NotSupported, Overloaded, SchemaMismatch, ShuttingDown, WriterFenced
 from tidemark.operators import lookup
 from tidemark.operators.scheduler import Fences, compact_selection, decide, sink_selection
 from tidemark.operators.table import Table
+from tidemark.plans import storage
 from tidemark.plans.manifest import FROZEN, NEW, OPEN, SINKED, Manifest, Run
 from tidemark.service import Service
 from tidemark.spec import TableSpec, columns
@@ -384,3 +385,128 @@ def test_service_reads_whole_prefixes(make):
     s.write_batch([{"kind": "+I", "row": r} for r in own])
     assert s.prefix_local({"id": 1}) == own
     assert s.call("prefix", {"id": 1})["status"] == Overloaded.status
+
+
+def opened(df):
+    """Base cells whose files a plan opens."""
+    return {f.rpartition("/")[0] for f in df.inputFiles() if "/base/" in f}
+
+
+def test_bulk_lookup_opens_only_the_cells_of_its_keys(make, spark):
+    t = make(TableSpec(F1.schema, ("id",), buckets=64))
+    t.append(spark.range(2000).selectExpr("cast(id AS int) AS id", "concat('m', id) AS marker"))
+    t.sink_all()
+    t.evict()
+    t.write_batch([("-D", {"id": 7}), ("+I", {"id": 2500, "marker": "hot"})])
+    keys = spark.createDataFrame([(3,), (7,), (2500,), (9000,), (3,), (None,)], "id int")
+    got = lookup.get_many(t, keys)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(3, "HIT", "m3"), (3, "HIT", "m3"), (7, "DELETED", None), (2500, "HIT", "hot"), (9000, "MISS", None), (None, "MISS", None)], key=repr)
+    assert len(t.m.base) == 64 and 1 <= len(opened(got)) <= 4
+    joined = lookup.lookup_join(keys.withColumnRenamed("id", "k"), t, {"k": "id"}, prune=True)
+    assert sorted(map(tuple, joined.select("k", "marker").collect()), key=repr) == sorted([(3, "m3"), (3, "m3"), (7, None), (2500, "hot"), (9000, None), (None, None)], key=repr)
+    assert len(opened(joined)) <= 5
+    with pytest.raises(BadRequest):
+        lookup.get_many(t, keys.selectExpr("id", "'x' AS marker"))
+
+
+def test_cells_are_found_without_a_job(make, spark):
+    spec = TableSpec(columns(p="string", d="date", k="bigint", v="string"), ("p", "d", "k"), ("p", "d"), 7)
+    t = make(spec)
+    import datetime as dt
+
+    keys = [(p, dt.date(2024, 1, i + 1), k) for i, p in enumerate(["a", 'q"\\', "é", "", "x/y"]) for k in (0, -5, 1 << 40)] + [("tab\t", dt.date(2024, 1, 1), 1)]
+    df = spark.createDataFrame([(*k, "v") for k in keys], spec.schema)
+    want = {(r.p, r.d, r.k): r.cell for r in df.select("p", "d", "k", t._cell().alias("cell")).collect()}
+    assert {k: t.cell_of(dict(zip(("p", "d", "k"), k, strict=True))) for k in keys} == want
+    assert t._partition_of({"p": "tab\t", "d": dt.date(2024, 1, 1)}) is None  # left to Spark
+
+
+def test_runs_are_left_out_by_their_keys(make):
+    t = make()
+    for a in (0, 10, 20):
+        t.write_batch([("+I", {"id": a + i, "marker": "x"}) for i in range(5)])
+        t.flush_all()
+    assert [len(t.runs_within((v, v))) for v in (3, 7, 12, 99)] == [1, 0, 1, 0] and len(t.runs_within((4, 20))) == 3 and len(t.runs_within((None, 3))) == 1
+    assert len(lookup.scan(t, {"id": 3}, {"id": 12}).inputFiles()) == 2
+    assert lookup.get(t, {"id": 7}) is None and lookup.get(t, {"id": 12}).marker == "x" and lookup.get_local(t, {"id": 99}) == ("MISS", None)
+    t.compact()
+    assert [len(t.runs_within((v, v))) for v in (3, 7, 99)] == [1, 1, 0]
+
+
+def test_batches_of_many_partitions_are_written_once(make, spark):
+    t = make()
+    t.put(id=0, marker="first")
+    df = spark.range(1000).selectExpr("cast(id % 100 AS int) AS id", "concat('m', id) AS marker", "id AS n").repartition(7)
+    assert t.append(df, order_by=("n",)) == 1001
+    assert len(t.store.names("hot")) == 2 == len(t.m.runs) and (t.m.runs[1].min_seq, t.m.runs[1].max_seq, t.m.runs[1].rows) == (2, 1001, 1000)
+    assert sorted(r[0] for r in t._runs(t.m.runs[1:]).select("_seq").collect()) == list(range(2, 1002))
+    assert rows(t.current()) == [(i, f"m{900 + i}") for i in range(100)]
+    assert (t.m.runs[1].min_key, t.m.runs[1].max_key) == ([0], [99])
+    assert t.append(df.limit(0).drop("n")) == 1001 and len(t.m.runs) == 2
+
+
+def test_large_cells_are_written_by_several_tasks(make, spark):
+    t = make(options=Options(cell_task_bytes=1000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which brings small slices together
+    try:
+        for _ in range(2):
+            t.append(spark.range(3000).selectExpr("cast(id AS int) AS id", "concat('m', id) AS marker"))
+            t.sink_all()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (folder,) = t.m.base.values()
+    files = t.store.files("base", folder)
+    assert len(files) > 1 and t.m.base_bytes == sum(files.values()) == sum(t.m.base_sizes.values())
+    assert t.current().count() == 3000 and t.store.names("work") == []
+
+
+def test_a_new_writer_fences_the_old_one(make, spark):
+    t = make()
+    t.put(id=1, marker="a")
+    other = Table.open(spark, t.store.root, take_over=True)
+    assert other.m.writer_id != t.m.writer_id
+    for call in (lambda: t.put(id=1, marker="b"), t.freeze, t.sink_all):
+        with pytest.raises(WriterFenced):
+            call()
+    other.put(id=2, marker="c")
+    assert rows(other.current()) == [(1, "a"), (2, "c")]
+
+
+def test_a_claim_left_behind_does_not_stop_the_table(make, monkeypatch):
+    t = make()
+    with open(f"{t.store.root}/manifest/{t.m.version + 1:012d}.json.claim", "w"):
+        pass
+    with pytest.raises(WriterFenced):
+        t.store.write_json({}, "manifest", f"{t.m.version + 1:012d}.json")
+    monkeypatch.setattr(storage, "CLAIM_SECONDS", -60)
+    t.put(id=1, marker="a")
+    assert rows(t.current()) == [(1, "a")] and not [n for n in t.store.names("manifest") if not n.endswith(".json")]
+
+
+def test_compaction_windows_match_brute_force():
+    rng = random.Random(7)
+    for _ in range(500):
+        at, runs = 0, []
+        for i in range(rng.randint(0, 8)):
+            at += rng.choice([1, 1, 1, 2])
+            runs.append(Run(f"r{i}", rng.choice([NEW, NEW, NEW, SINKED]), at, at, i, i, 1, rng.randint(0, 20), 0.0))
+        m = Manifest(runs=runs, prepared={"runs": rng.sample([r.id for r in runs], min(len(runs), rng.choice([0, 0, 1])))} if rng.random() < 0.5 else None)
+        held, own, most = set((m.prepared or {}).get("runs", ())), [r for r in runs if r.state == NEW], rng.randint(0, 60)
+        fits = lambda w: sum(r.bytes for r in w) <= most and not held & {r.id for r in w} and all(b.flush_from == a.flush_to + 1 for a, b in zip(w, w[1:], strict=False))  # noqa: B023, E731
+        want: list = []
+        for i in range(len(own)):
+            ends = [j for j in range(i + 2, len(own) + 1) if fits(own[i:j])]
+            if ends:
+                want = own[i : max(ends)]
+                break
+        assert compact_selection(m, NEW, most) == want
+
+
+def test_metrics(make):
+    t = make()
+    t.put(id=1, marker="a")
+    lookup.get(t, {"id": 1})
+    with pytest.raises(BadRequest):
+        lookup.get(t, {"x": 1})
+    s = t.state()["metrics"]
+    assert s["get"] == 1 and s["rows_written"] == 1 and sum(s["get_ms"].values()) == 1
