@@ -78,3 +78,53 @@ def test_copies_and_empty(spark):
     goal = {r.source: r.target / 50 for r in m.mix(df).select("source", "target").distinct().collect()}
     assert all(abs(words[s] - goal[s]) < 0.25 * goal[s] for s in words) and out.where("doc_id = 900").count() == 1
     assert m.mix(df.limit(0)).collect() == [] and m.copies(df.limit(0)).collect() == []
+
+
+def filled(sizes, weights):
+    """Targets: what is above a cap is shared anew until none is."""
+    capped: set = set()
+    while True:
+        left, w = sum(sizes) - sum(3 * sizes[i] for i in capped), sum(weights[i] for i in range(len(sizes)) if i not in capped)
+        out = [Fraction(3 * sizes[i]) if i in capped else Fraction(left * weights[i], w) for i in range(len(sizes))]
+        more = {i for i in range(len(sizes)) if i not in capped and out[i] > 3 * sizes[i]}
+        if not more:
+            return out
+        capped |= more
+
+
+def test_taken_matches_brute_force(spark, monkeypatch):
+    """Word by word: lines, blocks, quotas by greedy quotients, blocks picked in whole passes and then by the permutation."""
+    monkeypatch.setattr(m, "SHARD_WORDS", 900)
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 200]), rng.choice(["a", "a", "a", "b", None])) for i in range(120)]
+    df = docs(spark, rows)
+    got = {r.doc_id: r for r in m.mix(df).collect()}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size_of = {i: len(t.split()) for i, t, _ in rows}
+    sizes = [sum(size_of[i] for i, _, s in rows if s == x) for x in sources]
+    targets = filled(sizes, [(5, 2, 1)[k % 3] for k in range(len(sources))])
+    shards = [max(1, -(-n // 900)) for n in sizes]
+    drawn = {
+        r.doc_id: (r.turn, r.h) for r in df.selectExpr("doc_id", "xxhash64(42, doc_id) AS turn", "xxhash64(43, doc_id, cast(size(filter(split(text, ' '), x -> x <> '')) AS bigint)) AS h").collect()
+    }
+    lines: dict = {}
+    for i, _, s in rows:
+        k = sources.index(s)
+        lines.setdefault((k, drawn[i][1] % shards[k]), []).append(i)
+    blocks = {key: -(-sum(size_of[i] for i in own) // 16) for key, own in lines.items()}
+    have = [sum(b for (k, _), b in blocks.items() if k == x) for x in range(len(sources))]
+    quotas = greedy(targets, round(Fraction(sum(sizes), 16)), [3 * h for h in have])
+    keys = {(r.source, r.shard): r.key for r in spark.createDataFrame([(sources[k], h) for k, h in lines], "source string, shard long").selectExpr("*", "xxhash64(42, coalesce(source, '\0'), shard) AS key").collect()}
+    for k, source in enumerate(sources):
+        own = sorted(h for kk, h in lines if kk == k)
+        for h, quota in zip(own, greedy([blocks[k, h] for h in own], quotas[k], [3 * blocks[k, h] for h in own]), strict=True):
+            n = blocks[k, h]
+            words = [i for i in sorted(lines[k, h], key=lambda i: (drawn[i][0], i)) for _ in range(size_of[i])]
+            order = m.permuted(np.arange(n), np.full(n, n), np.full(n, keys[source, h], np.int64)) if n else []
+            times = [quota // n + (order[b] < quota % n) for b in range(n)]
+            taken: dict = {}
+            for at, i in enumerate(words):
+                taken[i] = taken.get(i, 0) + int(times[at // 16])
+            for i in lines[k, h]:
+                assert (got[i].taken, got[i].size, got[i].source_size) == (taken.get(i, 0), size_of[i], sizes[k])
+                assert abs(got[i].target - float(targets[k])) < 1e-6
