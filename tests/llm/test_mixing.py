@@ -128,3 +128,19 @@ def test_taken_matches_brute_force(spark, monkeypatch):
             for i in lines[k, h]:
                 assert (got[i].taken, got[i].size, got[i].source_size) == (taken.get(i, 0), size_of[i], sizes[k])
                 assert abs(got[i].target - float(targets[k])) < 1e-6
+
+
+def test_sources_that_do_not_fit_the_driver_give_the_same_mix(spark, monkeypatch):
+    rng = random.Random(12)
+    for trial in range(2):
+        names = [None, "", *(f"s{i}" for i in range(30)), "é", "\U0001f600", "\uffff"]
+        size = (lambda: rng.choice([0, 3, 60, 700])) if trial else (lambda: 40)  # with equal sizes, ties decide
+        rows = [(i, "w " * size(), names[i % len(names)] if trial == 0 else rng.choice(names)) for i in range(210)]
+        df = docs(spark, rows)
+        monkeypatch.setattr(m, "SHARD_WORDS", 900)
+        monkeypatch.setattr(m, "MAX_SOURCES", 100_000)
+        want = sorted(map(tuple, m.mix(df).collect()), key=repr)
+        monkeypatch.setattr(m, "MAX_SOURCES", 0)
+        got = sorted(map(tuple, m.mix(df).collect()), key=repr)
+        assert [(*r[:4], round(r[4], 6), r[5]) for r in got] == [(*r[:4], round(r[4], 6), r[5]) for r in want]
+    assert m.mix(df.limit(0)).collect() == []

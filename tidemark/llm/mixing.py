@@ -8,7 +8,11 @@ many blocks, whole passes over all blocks first. A document takes the words
 that it has in the blocks picked.
 
 Only totals go to the driver: a row a source, and at most MAX_SHARDS plus one a
-source for shards. For a mix, texts are read once; what is shuffled is a row of about
+source for shards. Above MAX_SOURCES sources these stay where they are too: targets come
+of a water level that is raised by sums until it holds, blocks of a threshold on the
+quotients that is closed in on by counts, and what is left goes to the first by order;
+only shards of sources that have several (MAX_SHARDS at most) reach the driver. Both ways
+give the same mix, save that the second divides in floating point. For a mix, texts are read once; what is shuffled is a row of about
 40 bytes a document, dealt by (source, shard), so a hot source is spread. ``copies``,
 which returns the documents themselves, reads texts a second time and moves them
 once, to where their takes are.
@@ -21,10 +25,11 @@ an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
@@ -36,7 +41,7 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 16
 SHARD_WORDS = 1 << 20
 MAX_SHARDS = 100_000
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 100_000  #: planned on the driver; more are planned where they are
 SEED = 42
 
 
@@ -131,6 +136,138 @@ def _taken(start, size, words, quota, seed) -> np.ndarray:
     return np.bincount(row, weights=covered * times, minlength=len(size)).astype(np.int64)
 
 
+def _step(total: int) -> int:
+    """Words of a shard."""
+    return max(SHARD_WORDS, -(-total // MAX_SHARDS))
+
+
+def _shard_rows(lengths: dict, quotas: dict) -> list[tuple]:
+    """(source, shard, words, quota) of every shard: a source's blocks go to its shards by highest quotients."""
+    rows = []
+    for s, quota in quotas.items():
+        own = sorted(lengths[s])
+        have = [-(-n // BLOCK_WORDS) for _, n in own]
+        for (shard, n), q in zip(own, sainte_lague(have, quota, [MAX_REPEATS * h for h in have]), strict=True):
+            rows.append((s, shard, n, q))
+    return rows
+
+
+_SHARDS = "source string, shard long, words long, quota long"
+
+
+def _plan(spark: SparkSession, totals: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """On the driver: source, source_size, target and shards of every source, and a
+    function from the lengths of the shards (source, shard, n) to their quotas."""
+    sources = totals.collect()
+    sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    total = sum(r["n"] for r in sources)
+    targets = water_fill([r["n"] for r in sources], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))])
+    plan = [(r["source"], r["n"], float(t), max(1, -(-r["n"] // _step(total)))) for r, t in zip(sources, targets, strict=True)]
+
+    def quotas_of(shards: DataFrame) -> DataFrame:
+        lengths: dict = {}
+        for r in shards.collect():  # MAX_SHARDS + sources rows at most
+            lengths.setdefault(r["source"], []).append((r["shard"], r["n"]))
+        blocks = {s: sum(-(-n // BLOCK_WORDS) for _, n in x) for s, x in lengths.items()}
+        order = [r["source"] for r in sources if r["source"] in blocks]
+        goal = dict(zip((r["source"] for r in sources), targets, strict=True))
+        quotas = sainte_lague([goal[s] for s in order], round(Fraction(total, BLOCK_WORDS)), [MAX_REPEATS * blocks[s] for s in order])
+        return spark.createDataFrame(_shard_rows(lengths, dict(zip(order, quotas, strict=True))), _SHARDS)
+
+    return spark.createDataFrame(plan, "source string, source_size long, target double, shards long"), quotas_of
+
+
+def _ranked(spark: SparkSession, totals: DataFrame) -> DataFrame:
+    """source, n and rank (from 0, by code point, null last), by the counts of range partitions."""
+    dealt = totals.withColumn("last", F.col("source").isNull()).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "last", "source")
+    dealt = dealt.sortWithinPartitions("last", "source").withColumn("place", F.monotonically_increasing_id())
+    dealt = stage(dealt.withColumn("part", F.shiftright("place", 33)), "sources")
+    before, at = [], 0
+    for r in dealt.groupBy("part").count().orderBy("part").collect():  # a row a partition
+        before.append((r["part"], at))
+        at += r["count"]
+    starts = spark.createDataFrame(before, "part long, before long")
+    return dealt.join(F.broadcast(starts), "part").select("source", "n", (F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+
+
+def _spread_plan(spark: SparkSession, totals: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The same where sources do not fit the driver: nothing but sums and counts reaches it."""
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    sources = _ranked(spark, totals).withColumn("weight", weight)
+    whole = lambda c: c.cast("decimal(19,0)")
+    total = int(sources.agg(F.sum(whole(F.col("n")))).first()[0])
+    cap = F.col("n") * MAX_REPEATS
+    left, weights = total, None
+    while True:  # sources whose cap is below the level are full; the level rises for the others
+        full = F.lit(False) if weights is None else whole(cap) * whole(F.lit(weights)) < whole(F.lit(left)) * whole(F.col("weight"))
+        got = sources.agg(F.sum(whole(F.when(full, cap).otherwise(0))).alias("caps"), F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("w")).first()
+        now = (total - int(got["caps"]), int(got["w"]))
+        if now == (left, weights):
+            break
+        left, weights = now
+        if not weights:
+            break
+    target = F.when(full, cap.cast("double")).otherwise(F.lit(float(left)) * F.col("weight") / F.lit(float(weights or 1)))
+    plan = sources.select("source", "rank", F.col("n").alias("source_size"), target.alias("target"), F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(_step(total)))).cast("long").alias("shards"))
+    plan = stage(plan, "targets")
+
+    def quotas_of(shards: DataFrame) -> DataFrame:
+        shards = stage(shards.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_WORDS)).cast("long")), "shards")
+        blocks = shards.groupBy(F.col("source").alias("s")).agg((F.sum("blocks") * MAX_REPEATS).alias("most"))
+        votes = stage(plan.join(blocks, F.col("source").eqNullSafe(F.col("s"))).select("source", "rank", "target", "most", "shards"), "votes")
+        quotas = _spread_quotas(votes, round(Fraction(total, BLOCK_WORDS)))
+        own = shards.join(quotas.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        lengths: dict = {}
+        wanted: dict = {}
+        for r in own.where("shards > 1").collect():  # of sources above a shard's words: MAX_SHARDS + their number at most
+            lengths.setdefault(r["source"], []).append((r["shard"], r["n"]))
+            wanted[r["source"]] = r["quota"]
+        several = spark.createDataFrame(_shard_rows(lengths, wanted), _SHARDS)
+        return own.where("shards = 1").select("source", "shard", F.col("n").alias("words"), F.least("quota", F.col("blocks") * MAX_REPEATS).alias("quota")).unionByName(several)
+
+    return plan.drop("rank"), quotas_of
+
+
+PROBES = 32  #: thresholds that one pass counts
+EQUAL = 1e-12  #: quotients that differ by less, in parts of them, are equal but for rounding
+
+
+def _spread_quotas(votes: DataFrame, seats: int) -> DataFrame:
+    """source, shards and quota by highest quotients target / (2 s + 1), none above ``most``; ties go to the lower rank."""
+    bounds = votes.agg(F.max("target").alias("t"), F.sum("most").alias("m")).first()
+    seats = min(seats, int(bounds["m"] or 0))
+    low, high = 0.0, 2.0 * float(bounds["t"] or 0.0)
+
+    def above(t) -> Column:  # of a source's quotients, how many are greater than t
+        return F.least("most", F.greatest(F.lit(0), F.ceil((F.col("target") - t) / (2 * t)))).cast("long")
+
+    def counted(conditions: list[Column]) -> list[int]:
+        return [int(x or 0) for x in votes.agg(*(F.sum(c).alias(f"c{i}") for i, c in enumerate(conditions))).first()]
+
+    if not seats or not high:
+        return votes.select("source", "shards", F.lit(0).cast("long").alias("quota"))
+    # at most ``seats`` quotients are greater than ``high``, more than that greater than ``low``
+    while high - low > high * EQUAL:
+        probes = sorted({low + (high - low) * (i + 1) / (PROBES + 1) for i in range(PROBES)} - {low, high})
+        sums = counted([above(F.lit(t)) for t in probes])
+        fits = [t for t, n in zip(probes, sums, strict=True) if n <= seats]
+        low, high = max((t for t, n in zip(probes, sums, strict=True) if n > seats), default=low), min(fits, default=high)
+        if fits and seats in sums:
+            break
+    # the quotients between are equal: those of the lowest ranks have a seat more
+    given = above(F.lit(high))
+    may = (F.col("target") > 0) & (given < F.col("most")) & (above(F.lit(low)) > given if low else F.col("target") / (2 * given + 1) > 0)
+    rest = seats - counted([given])[0]
+    first, last = -1, int(votes.agg(F.max("rank")).first()[0])  # ranks up to ``first`` are too few, up to ``last`` enough
+    while rest and last - first > 1:
+        probes = sorted({first + (last - first) * (i + 1) // (PROBES + 1) for i in range(PROBES)} - {first, last}) or [(first + last) // 2]
+        sums = counted([(may & (F.col("rank") <= t)).cast("long") for t in probes])
+        last = min((t for t, n in zip(probes, sums, strict=True) if n >= rest), default=last)
+        first = max((t for t, n in zip(probes, sums, strict=True) if n < rest), default=first)
+    more = (may & (F.col("rank") <= last)).cast("long") if rest else F.lit(0)
+    return votes.select("source", "shards", (given + more).cast("long").alias("quota"))
+
+
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: tuple = ()
 ) -> DataFrame:
@@ -143,33 +280,14 @@ def mix(
         ),
         "words",
     )
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: the apportionment is planned on the driver")
-    sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    total = sum(r["n"] for r in sources)
-    targets = water_fill([r["n"] for r in sources], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))])
-    step = max(SHARD_WORDS, -(-total // MAX_SHARDS))
-    plan = [(r["source"], r["n"], float(t), max(1, -(-r["n"] // step))) for r, t in zip(sources, targets, strict=True)]
-    by_source = spark.createDataFrame(plan, "source string, source_size long, target double, shards long")
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("n"))
+    plan = _plan if totals.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else _spread_plan
+    by_source, quotas_of = plan(spark, totals)
     dealt = sizes.join(by_source, sizes["source"].eqNullSafe(by_source["source"])).select(
         "doc_id", sizes["source"], "size", "source_size", "target",
         F.xxhash64(F.lit(seed), "doc_id").alias("turn"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "shards").alias("shard"),
     )
-    lengths: dict = {}
-    for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect():  # MAX_SHARDS + sources rows at most
-        lengths.setdefault(r["source"], []).append((r["shard"], r["n"]))
-    blocks = {s: sum(-(-n // BLOCK_WORDS) for _, n in x) for s, x in lengths.items()}
-    order = [r["source"] for r in sources if r["source"] in blocks]
-    goal = dict(zip((r["source"] for r in sources), targets, strict=True))
-    quotas = sainte_lague([goal[s] for s in order], round(Fraction(total, BLOCK_WORDS)), [MAX_REPEATS * blocks[s] for s in order])
-    rows = []
-    for s, quota in zip(order, quotas, strict=True):
-        own = sorted(lengths[s])
-        have = [-(-n // BLOCK_WORDS) for _, n in own]
-        for (shard, n), q in zip(own, sainte_lague(have, quota, [MAX_REPEATS * h for h in have]), strict=True):
-            rows.append((s, shard, n, q))
-    by_shard = spark.createDataFrame(rows, "source string, shard long, words long, quota long")
+    by_shard = quotas_of(dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")))
     line = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "size")
     laid = (
         dealt.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
