@@ -191,7 +191,10 @@ def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     schema = f"place long, doc_id {kind}, n_shingles long, k1 long, k2 long, prefix array<long>, outline array<smallint>"
     own = F.col("place") if "place" in docs.columns else F.monotonically_increasing_id()
-    return stage(_map(docs.select("doc_id", "text", own.alias("place")), run, schema), "keyed")
+    out = stage(_map(docs.select("doc_id", "text", own.alias("place")), run, schema), "keyed")
+    held.destroy()
+    trim()
+    return out
 
 
 def _lists(values: list[np.ndarray | None], kind: type) -> pa.Array:
@@ -387,6 +390,8 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     ).toArrow()
     bloom = np.zeros(BLOOM_WORDS, np.int64)
     bloom[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    del words
+    trim()
     held, token = spark.sparkContext.broadcast(bloom), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

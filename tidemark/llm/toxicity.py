@@ -32,7 +32,7 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -50,8 +50,8 @@ SURE = 10.0  #: the likelihood ratio at which a term has half of its lean, befor
 NEAREST = 15
 BLOCK = 32  #: examples of a block
 FIRST = 4  #: blocks that are looked at before any can be passed over
-OFTEN = 24  #: a term that more than one in so many examples have has its postings in a matrix
-TOGETHER = 200_000  #: blocks of postings of the queries that are searched together
+OFTEN = 16  #: a term that more than one in so many examples have has its postings in a matrix
+TOGETHER = 60_000  #: blocks of postings of the queries that are searched together
 FOLDS = 5  #: rows with crc32(id) mod FOLDS = 0 are held out; the others are calibrated in as many folds
 STEMS = (5,)  #: bytes of the word beginnings
 
@@ -72,7 +72,7 @@ class Index:
         self.order = np.array(sorted(range(self.n), key=lambda i: (lead[i], i)), np.int64)
         self.blocks = -(-self.n // BLOCK)
         sizes = np.array([len(vectors[i][0]) for i in self.order], np.int64)
-        at = np.repeat(np.arange(self.n), sizes)
+        at = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         term = np.concatenate([vectors[i][0] for i in self.order]) if self.n else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in self.order]) if self.n else np.zeros(0)
         # terms that many examples have: their postings are rows of a matrix
@@ -82,9 +82,9 @@ class Index:
         self.rows = np.zeros((len(often), self.blocks * BLOCK))
         dense = self.row[term] >= 0
         self.rows[self.row[term[dense]], at[dense]] = weight[dense]
-        at, term, weight = at[~dense], term[~dense], weight[~dense]
+        at, term, weight = at[~dense], term[~dense].astype(np.int64), weight[~dense]
         by = np.argsort(term, kind="stable")
-        term, self.at, self.weight = term[by], at[by].astype(np.int32), weight[by]
+        term, self.at, self.weight = term[by], at[by], weight[by]
         own = term * max(self.blocks, 1) + self.at // BLOCK
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
         #: of each block of a term's postings: where it starts, which block it is, its greatest weight
@@ -226,7 +226,7 @@ class Model:
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights, of length 1; terms that say nothing (in as many examples of each label as chance has it) are left out."""
-        w = (1 + np.log(counts)) * self.weight[terms]
+        w = (1 + np.log(counts, dtype=np.float64)) * self.weight[terms]
         terms, w = terms[w > 0], w[w > 0]
         return terms, w / math.sqrt((w * w).sum()) if len(w) else w
 
@@ -259,7 +259,7 @@ def isotonic(points: list[tuple[float, float, float]]) -> list[tuple[float, floa
     return out
 
 
-def _different(texts: list[list[bytes]]) -> list[int]:
+def _different(texts: Iterable[list[bytes]]) -> list[int]:
     """Which texts to keep so that none is a near copy of one before: no two
     that share half of eight least hashes of their word triples."""
     seen: list[set[int]] = [set() for _ in range(8)]
@@ -292,32 +292,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic"), F.first("h").alias("h")).collect()
     )
     chosen.sort(key=lambda r: (r["h"], r["doc_id"]))
-    texts = [alnum_words((r["text"] or "").encode()) for r in chosen]
-    keep = _different(texts)
-    texts, chosen = [texts[i] for i in keep], [chosen[i] for i in keep]
+    # texts are parted into words anew each time: their words together would fill the driver
+    texts = [(r["text"] or "").encode() for r in chosen]
+    keep = _different(map(alnum_words, texts))
+    texts, labels_, names = [texts[i] for i in keep], [chosen[i]["toxic"] for i in keep], [chosen[i]["doc_id"] for i in keep]
+    del chosen
     terms = Terms()
-    for words in texts:
-        terms.learn(set(words))
+    for text in texts:
+        terms.learn(set(alnum_words(text)))
     found, rows = frequencies(docs, terms, id_col, text_col)
-    return fitted(terms, np.log(1 + rows / (1 + found)), texts, [r["toxic"] for r in chosen], sizes, [r["doc_id"] for r in chosen])
+    model = fitted(terms, np.log(1 + rows / (1 + found)), map(alnum_words, texts), labels_, sizes, names)
+    trim()
+    return model
 
 
-def fitted(terms: Terms, idf: np.ndarray, texts: list[list[bytes]], labels: list[int], sizes: dict[int, int], names: list) -> Model:
+def fitted(terms: Terms, idf: np.ndarray, texts: Iterable[list[bytes]], labels: list[int], sizes: dict[int, int], names: list) -> Model:
     """The model of these examples. ``sizes``: how many labelled documents they stand for."""
-    counts = [terms.counts(words) for words in texts]
+    counts = [(t.astype(np.int32), c.astype(np.float32)) for t, c in map(terms.counts, texts)]
     n = Counter(labels)
     stands = {y: sizes[y] / n[y] for y in n}
-    model = Model(terms, idf, counts, labels, stands, names)
-    if len(n) < 2:
-        return model
     points = []
-    for fold in range(FOLDS):
+    for fold in range(FOLDS if len(n) == 2 else 0):  # one index at a time is held
         others = [i for i in range(len(labels)) if i % FOLDS != fold]
         part = Model(terms, idf, [counts[i] for i in others], [labels[i] for i in others], stands, [])
         own = range(fold, len(labels), FOLDS)
         for i, near in zip(own, part.index.nearest_of([part.vector(*counts[i]) for i in own]), strict=True):
             if near:
                 points.append((part.raw(near), float(labels[i]), stands[labels[i]]))
+        del part
+    model = Model(terms, idf, counts, labels, stands, names)
     steps = isotonic(points)
     # beyond the middle of the outer pools scores go on half of the way to 0 and 1
     model.steps = [(-1e-9, steps[0][1] / 2), *steps, (1 + 1e-9, (1 + steps[-1][1]) / 2)] if steps else []
@@ -348,6 +351,7 @@ def frequencies(docs: DataFrame, terms: Terms, id_col: str = "doc_id", text_col:
     counts = id_text(docs, id_col, text_col).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size + 1, np.int64)
     out[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    held.destroy()
     return out[:size], int(out[size])
 
 
