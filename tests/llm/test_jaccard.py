@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import _words
 from tidemark.llm import jaccard as j
@@ -154,3 +155,26 @@ def test_frequent_grams_are_counted_in_bounded_parts(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert j.join(df).collect() == [] and j.one_of_each(df).collect() == []
+
+
+def test_grams_shared_by_chance_make_no_cell(spark, monkeypatch):
+    """Each gram below is in three long texts, and no text is near another: there are no cells."""
+    monkeypatch.setattr(j, "COUNTED", 1)  # a text a part: the shared grams pass for seldom ones, as they do in large tables
+    words = [[f"w{i}x{k}" for k in range(600)] for i in range(40)]
+    for g in range(38):
+        for i in range(g, g + 3):
+            words[i][40 * (g % 3) : 40 * (g % 3) + 3] = [f"shared{g}longer{k}" + "z" * 20 for k in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    rows = j.keyed(docs, 3, 90, 100)
+    nodes = rows.groupBy("k1", "k2").agg(F.min("place").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("outline").alias("outline"))
+    assert j._cells(rows.select(F.col("k1").alias("a"), "n_shingles", "prefix"), nodes, 90, 100).count() == 0
+
+
+@pytest.mark.parametrize("meet,extra", [(1, 256), (2, 8), (5, 4), (64, 8)])
+def test_pairs_and_stars_lose_no_link(spark, monkeypatch, meet, extra):
+    monkeypatch.setattr(j, "MEET", meet)
+    monkeypatch.setattr(j, "EXTRA", extra)
+    rows = corpus(meet + extra)
+    want, _, _ = expected(rows, 2, 80, 100)
+    got = j.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=2, num=80, den=100).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

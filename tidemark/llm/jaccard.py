@@ -7,11 +7,14 @@ steps, none of which loses a link:
    fixed-size table of their counts gives the global order: seldom before often,
    long before short, then by hash (grams that share a slot count together).
 2. Documents of equal sets become one node (key: 128 bits of the set). Of each
-   node the order's first n - ceil(t n) + 1 grams are its prefix: two nodes that
-   link share a gram of their prefixes, and their lengths are near. Each shared
-   gram joins its nodes of near lengths to the smallest one; connected nodes are
-   a *cell*, and links stay inside cells. Cells above CELL_GRAMS are cut anew
-   the same way, in the order of the frequencies inside the cell.
+   node the order's first n - ceil(t n) + k grams are its prefix (k: 1, and one
+   more for each EXTRA grams): two nodes that link share k grams of their
+   prefixes (the smaller k), and their lengths are near. Nodes of near lengths
+   that share a gram which at most MEET of them have are compared as pairs: by how
+   many such grams they share and by outlines. A gram that more have joins them
+   to the smallest one. Connected nodes are a *cell*, and links stay inside cells.
+   Cells above CELL_GRAMS are cut anew the same way, in the order of the
+   frequencies inside the cell.
 3. A cell's sets go into a trie, ordered by frequency in the cell, often first,
    so that near copies share paths. A set traverses the trie level by level: a
    node adds its segment's overlap to its parent's, and subtrees are pruned when
@@ -52,6 +55,8 @@ SLOTS = 1 << 24  #: of the table of frequent grams: a byte each, shipped whole (
 OFTEN = 2
 OUTLINE = 64  #: parts of the grams, for bounds on how far sets are apart
 CLASS = 1.5  #: ratio of the lengths of a class
+EXTRA = 256  #: grams of a set for each gram more that prefixes must share: long sets share single grams by chance
+MEET = 64  #: nodes with a gram that are compared as pairs; more are joined as a star
 CELL_GRAMS = 1 << 22  #: of a trie; larger cells are cut into slices
 PIVOTS = 256  #: sets of a cell that a round sends to its slices
 BLOOM_WORDS = 1 << 20  #: 8 MB at most
@@ -179,7 +184,7 @@ def keyed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     outlines.append(None)
                     continue
                 seen.add(keys[-1])
-                prefixes.append(_first(values, hot, m - -(-num * m // den) + 1).view(np.int64))
+                prefixes.append(_first(values, hot, m - -(-num * m // den) + 1 + m // EXTRA).view(np.int64))
                 outlines.append(np.minimum(np.bincount((values >> np.uint64(24)).astype(np.int64) % OUTLINE, minlength=OUTLINE), 32_000).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -447,7 +452,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
 
 
 def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(k1, cell) of the nodes that share a prefix gram with a node of a
+    """(k1, cell) of the nodes that share prefix grams with a node of a
     length that could link: a node is in the class of its length (powers of CLASS)
     and in those of the greater lengths that it can link with. Nodes go by half of
     their key here; two that had the same half would only be in one cell. An outline
@@ -456,18 +461,25 @@ def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     of = lambda c: F.floor(F.log(c) / F.log(F.lit(CLASS)))
     longest = F.floor(F.col("n_shingles") * den / num)
     spots = F.explode(F.sequence(of(F.col("n_shingles")), of(longest)))
-    tokens = prefixes.select("a", "prefix", spots.alias("c")).select("a", "c", F.explode("prefix").alias("g")).select("a", F.xxhash64("g", "c").alias("gram"))
-    tokens = tokens.where("a IS NOT NULL AND gram IS NOT NULL")  # as a join would add below the exchange, which then could not serve both
-    # of two nodes that share a gram with each other alone, the outlines tell whether they may link;
-    # in a group of more, each is joined to the smallest, and outlines could not tell about the others
-    tokens = tokens.repartition(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")  # one exchange for both
-    met = tokens.groupBy("gram").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("c")).where("b < top")
-    links = tokens.join(met.select("gram", "b", "c"), "gram").where("a != b").groupBy("a", "b").agg(F.max("c").alias("c"))
+    # k: grams that must be shared; negative in a class that is not the node's own
+    k = F.expr(f"cast(1 + n_shingles div {EXTRA} AS int)")
+    tokens = prefixes.select("a", "n_shingles", "prefix", spots.alias("c")).select("a", "c", F.when(F.col("c") == of(F.col("n_shingles")), k).otherwise(-k).alias("k"), F.explode("prefix").alias("g"))
+    tokens = tokens.select("a", "k", F.xxhash64("g", "c").alias("gram"))
+    tokens = tokens.where("a IS NOT NULL AND gram IS NOT NULL")  # as a join would add below the exchange, which then could not serve all
+    tokens = tokens.repartition(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")  # one exchange for all
+    met = tokens.groupBy("gram").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("c"), F.max("k").alias("k")).where("b < top AND k > 0")
+    # a linked pair shares k grams. If more than MEET nodes have one of these, it joins the pair; else all k are
+    # counted here, each once: in the class of the longer set, the only one that both are in and one has for its own
+    few = tokens.join(met.where(F.col("c") <= MEET).select("gram"), "gram").groupBy("gram").agg(F.collect_set(F.struct("a", "k")).alias("own"))
+    both = few.select("own", F.posexplode("own").alias("i", "x")).where("i > 0").select("x", F.explode(F.expr("slice(own, 1, i)")).alias("y")).where("(x.k > 0 OR y.k > 0) AND x.a != y.a")
+    pairs = both.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b"), F.least(F.abs("x.k"), F.abs("y.k")).alias("k"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k").select("a", "b")
     own = lambda x: nodes.select(F.col("k1").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("outline").alias(f"o_{x}"))
-    pairs = links.where("c = 2").join(own("a"), "a").join(own("b"), "b")
+    pairs = pairs.join(own("a"), "a").join(own("b"), "b")
     apart = F.aggregate(F.zip_with("o_a", "o_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
     most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
-    links = links.where("c > 2").select("a", "b").unionByName(pairs.where(apart <= most).select("a", "b"))
+    stars = tokens.join(met.where(F.col("c") > MEET).select("gram", "b"), "gram").where("a != b").select("a", "b").distinct()
+    links = stars.unionByName(pairs.where(apart <= most).select("a", "b"))
     return stage(components(links, "cell"), "cells").withColumnRenamed("node", "k1")
 
 
@@ -494,7 +506,7 @@ def _seldom(inside: DataFrame, num: int, den: int) -> DataFrame:
             prefixes = []
             for i in range(batch.num_rows):
                 values = flat[ends[i] : ends[i + 1]]
-                prefixes.append(_first(values, hot, len(values) - -(-num * len(values) // den) + 1).view(np.int64))
+                prefixes.append(_first(values, hot, len(values) - -(-num * len(values) // den) + 1 + len(values) // EXTRA).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))],
                 names=["a", "n_shingles", "prefix"],
