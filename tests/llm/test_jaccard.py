@@ -157,17 +157,18 @@ def test_empty_table(spark):
     assert j.join(df).collect() == [] and j.one_of_each(df).collect() == []
 
 
-def test_grams_shared_by_chance_make_no_cell(spark, monkeypatch):
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])  # of op6 and of the pipeline
+def test_grams_shared_by_chance_make_no_cell(spark, monkeypatch, n, num):
     """Each gram below is in three long texts, and no text is near another: there are no cells."""
     monkeypatch.setattr(j, "COUNTED", 1)  # a text a part: the shared grams pass for seldom ones, as they do in large tables
     words = [[f"w{i}x{k}" for k in range(600)] for i in range(40)]
     for g in range(38):
         for i in range(g, g + 3):
-            words[i][40 * (g % 3) : 40 * (g % 3) + 3] = [f"shared{g}longer{k}" + "z" * 20 for k in range(3)]
+            words[i][40 * (g % 3) : 40 * (g % 3) + n] = [f"shared{g}longer{k}" + "z" * 20 for k in range(n)]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
-    rows = j.keyed(docs, 3, 90, 100)
+    rows = j.keyed(docs, n, num, 100)
     nodes = rows.groupBy("k1", "k2").agg(F.min("place").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("outline").alias("outline"))
-    assert j._cells(rows.select(F.col("k1").alias("a"), "n_shingles", "prefix"), nodes, 90, 100).count() == 0
+    assert j._cells(rows.select(F.col("k1").alias("a"), "n_shingles", "prefix"), nodes, num, 100).count() == 0
 
 
 @pytest.mark.parametrize("meet,extra", [(1, 256), (2, 8), (5, 4), (64, 8)])
