@@ -179,3 +179,24 @@ def test_pairs_and_stars_lose_no_link(spark, monkeypatch, meet, extra):
     want, _, _ = expected(rows, 2, 80, 100)
     got = j.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=2, num=80, den=100).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_sets_are_of_the_rows_that_nodes_name(spark):
+    """Rows with a place are read for their sets only where a node names them: not other copies, not other texts."""
+    docs = spark.createDataFrame([(i, f"a b c d{i % 3}", 1 << 33 | i) for i in range(12)], "doc_id long, text string, place long").repartition(12, "doc_id")
+    rows = j.keyed(docs, 3, 90, 100)
+    wanted = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("place").alias("node"))
+    assert sorted(r.node & 15 for r in wanted.collect()) == [0, 1, 2]
+    assert j._sets(docs, 3, wanted).count() == 3
+    assert j._sets(docs.drop("place"), 3, wanted).count() > 3  # without places: every copy in another batch
+
+
+def test_grams_of_one_node_are_left_at_once(spark):
+    texts = ["a b c d e f", "a b c d e g", "h i j k l m"]
+    rows = j.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 1, 10, 100)
+    prefixes = rows.select(F.col("k1").alias("a"), "n_shingles", "prefix")
+    grams = [set(map(int, next(j.all_grams(pa.array([x]), 1)).view(np.int64))) for x in texts]
+    have = [set(r.prefix) for r in prefixes.collect()]
+    shared = sum(len(have[x] & have[y]) > 0 for x in range(3) for y in range(x))
+    met = j._met(prefixes, 10, 100).collect()
+    assert shared == 1 and len({r.a for r in met}) == 2 and all(r.b is None for r in met) and not grams[0] & grams[2]

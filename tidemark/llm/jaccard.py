@@ -385,11 +385,14 @@ def _traverse(group: list[int], own: list[np.ndarray], counts: np.ndarray, union
 
 
 def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """k1, k2 and grams of the rows whose set may be in ``wanted`` (k1): a Bloom
-    filter of bounded size passes over most others; a batch gives a set once."""
+    """k1, k2 and grams of the rows whose set may be in ``wanted`` (k1, node): a Bloom
+    filter of bounded size passes over most others; a batch gives a set once. Rows
+    that have a place are passed over by it, unread: a node is the place of a row."""
     spark = docs.sparkSession
+    by_place = "place" in docs.columns
+    rows = docs.select("doc_id", "text", F.xxhash64("place").alias("h")) if by_place else docs
     # two bits a key, from halves that are independent
-    spots = wanted.select(F.explode(F.array(F.col("k1"), F.shiftrightunsigned("k1", 29))).alias("h"))
+    spots = wanted.select((F.xxhash64("node") if by_place else F.col("k1")).alias("h")).select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 29))).alias("h"))
     words = spots.groupBy(F.pmod(F.shiftrightunsigned("h", 6), F.lit(BLOOM_WORDS)).cast("int").alias("w")).agg(
         F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("bits")
     ).toArrow()
@@ -402,6 +405,9 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _value(token, held).view(np.uint64)
         for batch in batches:
+            if by_place:
+                h = batch.column(2).to_numpy().view(np.uint64)
+                batch = batch.filter(pa.array(may(bits, h) & may(bits, h >> np.uint64(29))))
             seen: set[tuple[int, int]] = set()
             out: list[tuple[tuple[int, int], np.ndarray]] = []
             held_grams = 0
@@ -413,7 +419,7 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                     continue
                 seen.add(k)
                 h = k[0] & 0xFFFFFFFFFFFFFFFF
-                if all(int(bits[(x >> 6) % BLOOM_WORDS]) >> (x & 63) & 1 for x in (h, h >> 29)):
+                if by_place or all(int(bits[(x >> 6) % BLOOM_WORDS]) >> (x & 63) & 1 for x in (h, h >> 29)):
                     out.append((k, values.view(np.int64)))
                     held_grams += len(values)
                 if held_grams > 1 << 19:
@@ -422,12 +428,15 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             if out:
                 yield told(out)
 
+    def may(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (bits[((h >> np.uint64(6)) % np.uint64(BLOOM_WORDS)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
     def told(out: list[tuple[tuple[int, int], np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k, _ in out], pa.int64()), pa.array([k[1] for k, _ in out], pa.int64()), _lists([v for _, v in out], np.int64)], names=["k1", "k2", "grams"]
         )
 
-    return _map(docs, run, "k1 long, k2 long, grams array<long>")
+    return _map(rows, run, "k1 long, k2 long, grams array<long>")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -451,13 +460,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield now, held
 
 
-def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(k1, cell) of the nodes that share prefix grams with a node of a
-    length that could link: a node is in the class of its length (powers of CLASS)
-    and in those of the greater lengths that it can link with. Nodes go by half of
-    their key here; two that had the same half would only be in one cell. An outline
-    has how many grams of a set are in each of OUTLINE parts of all grams: two sets
-    differ in at least as many grams as their outlines do."""
+def _met(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, k, gram and b of the prefix grams that two nodes or more have in one
+    class: a node is in the class of its length (powers of CLASS) and in those of the
+    greater lengths that it can link with. b: the smallest node with the gram, null if
+    at most MEET have it. Most grams are of one node alone; they are read once and left here."""
     of = lambda c: F.floor(F.log(c) / F.log(F.lit(CLASS)))
     longest = F.floor(F.col("n_shingles") * den / num)
     spots = F.explode(F.sequence(of(F.col("n_shingles")), of(longest)))
@@ -466,11 +473,26 @@ def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     tokens = prefixes.select("a", "n_shingles", "prefix", spots.alias("c")).select("a", "c", F.when(F.col("c") == of(F.col("n_shingles")), k).otherwise(-k).alias("k"), F.explode("prefix").alias("g"))
     tokens = tokens.select("a", "k", F.xxhash64("g", "c").alias("gram"))
     tokens = tokens.where("a IS NOT NULL AND gram IS NOT NULL")  # as a join would add below the exchange, which then could not serve all
-    tokens = tokens.repartition(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")  # one exchange for all
+    tokens = tokens.repartition(_parts(prefixes), "gram")  # one exchange for both
     met = tokens.groupBy("gram").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("c"), F.max("k").alias("k")).where("b < top AND k > 0")
+    met = met.select("gram", F.when(F.col("c") > MEET, F.col("b")).alias("b"))
+    return stage(tokens.join(met.hint("shuffle_hash"), "gram"), "met")  # no sort of all grams
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(k1, cell) of the nodes that share prefix grams with a node of a
+    length that could link. Nodes go by half of
+    their key here; two that had the same half would only be in one cell. An outline
+    has how many grams of a set are in each of OUTLINE parts of all grams: two sets
+    differ in at least as many grams as their outlines do."""
+    met = _met(prefixes, num, den)
     # a linked pair shares k grams. If more than MEET nodes have one of these, it joins the pair; else all k are
     # counted here, each once: in the class of the longer set, the only one that both are in and one has for its own
-    few = tokens.join(met.where(F.col("c") <= MEET).select("gram"), "gram").groupBy("gram").agg(F.collect_set(F.struct("a", "k")).alias("own"))
+    few = met.where("b IS NULL").repartition(_parts(met), "gram").groupBy("gram").agg(F.collect_set(F.struct("a", "k")).alias("own"))
     both = few.select("own", F.posexplode("own").alias("i", "x")).where("i > 0").select("x", F.explode(F.expr("slice(own, 1, i)")).alias("y")).where("(x.k > 0 OR y.k > 0) AND x.a != y.a")
     pairs = both.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b"), F.least(F.abs("x.k"), F.abs("y.k")).alias("k"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k").select("a", "b")
@@ -478,7 +500,7 @@ def _cells(prefixes: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     pairs = pairs.join(own("a"), "a").join(own("b"), "b")
     apart = F.aggregate(F.zip_with("o_a", "o_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
     most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
-    stars = tokens.join(met.where(F.col("c") > MEET).select("gram", "b"), "gram").where("a != b").select("a", "b").distinct()
+    stars = met.where("a != b").select("a", "b").distinct()
     links = stars.unionByName(pairs.where(apart <= most).select("a", "b"))
     return stage(components(links, "cell"), "cells").withColumnRenamed("node", "k1")
 
