@@ -69,3 +69,20 @@ def test_ids_of_any_text(spark):
 def test_empty_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert w.op9_warc_segments(spark, str(tmp_path)).collect() == []
+
+
+def test_what_a_task_holds(spark, tmp_path):
+    """Archives are stored in small row groups, and payloads do not leave the task that reassembles them."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    rows = [(i, "u", random.Random(i).randbytes(400_000).hex()) for i in range(24)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    stored = w.archives(df)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored.inputFiles()]
+    sizes = [(m.row_group(i).num_rows, m.row_group(i).total_byte_size) for m in groups for i in range(m.num_row_groups)]
+    assert sum(n for n, _ in sizes) > 2 * w.GROUP_ROWS and max(n for n, _ in sizes) <= w.GROUP_ROWS and max(b for _, b in sizes) < 10 << 20
+    got = w.reassembled(w.parsed(stored), of=w._sums, columns="own string, n long")
+    assert "payload" not in got.columns
+    assert sorted((r.own, r.n) for r in got.collect()) == sorted((digest(t), len(t)) for _, _, t in rows)

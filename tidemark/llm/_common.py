@@ -34,13 +34,14 @@ def space_words(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "zstd", **options: object) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage
-    ends there, and a lost executor costs only its own running tasks."""
+    ends there, and a lost executor costs only its own running tasks. ``options``
+    are the writer's (dots as double underscores)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **{k.replace("__", "."): v for k, v in options.items()}).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -14,6 +14,10 @@ are found by digest: a minimum per digest, combined before the shuffle. In writi
 which rows are revisits comes to them by a join: html stays where it is while Spark
 ships the revisits (ids and digests), and moves once when they are too many for that.
 
+Memory: archives of about 1 MB are stored in row groups of ``GROUP_ROWS``, which are what
+a task of Spark reads at once. Of a batch, Python makes a value at a time; ``told`` lets
+payloads go where they are reassembled, as their digests and lengths.
+
 Cases: null html is an empty payload, of which there is a response too;
 equal rows (id and payload) are one record that gives as many rows, all of them
 responses if their id is the smallest; a null id is never the smallest; ids may be
@@ -27,7 +31,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,10 +40,12 @@ from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
 
-from ._common import map_arrow, stage, utf8
+from ._common import map_arrow, stage, trim, utf8
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
+#: Spark reads up to 4096 rows of a row group into one array on the heap: here a row is an archive.
+GROUP_ROWS = 8
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -164,9 +170,8 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         size = {False: 0, True: 0}
         for batch in batches:
             cols = [batch.column(i) for i in range(6)]
-            for page, url, text, digest, of, again in zip(
-                cols[0].to_pylist(), cols[1].to_pylist(), utf8(cols[2]), cols[3].to_pylist(), cols[4].to_pylist(), cols[5].to_pylist(), strict=True
-            ):
+            values = [utf8(c) if i == 2 else (x.as_py() for x in c) for i, c in enumerate(cols)]
+            for page, url, text, digest, of, again in zip(*values, strict=True):
                 if again:
                     made = [(1, revisit(page, url, base64.b32encode(bytes.fromhex(digest)).decode(), of))]
                 else:
@@ -180,9 +185,11 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         for rest in held.values():
             if rest:
                 yield out(rest)
+        trim()
 
     ship(pages.sparkSession)
-    return stage(marked.mapInArrow(write, "archive binary"), "warc")
+    rows = {"parquet__block__row__count__limit": GROUP_ROWS, "parquet__page__size__row__check__min": 1, "parquet__enable__dictionary": "false"}
+    return stage(marked.mapInArrow(write, "archive binary"), "warc", **rows)
 
 
 PARTS = "record string, type string, refers string, digest string, origin string, segment int, total long, block binary"
@@ -223,9 +230,12 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
 
 
-def reassembled(parts: DataFrame, strict: bool = True) -> DataFrame:
+def reassembled(
+    parts: DataFrame, strict: bool = True, of: Callable[[bytes | None], tuple] = lambda payload: (payload,), columns: str = "payload binary"
+) -> DataFrame:
     """record, type, refers, digest (as stored) and payload of every response
-    and revisit; damaged is why a payload is null."""
+    and revisit; damaged is why a payload is null. ``of`` makes other ``columns``
+    of a payload, which then does not leave its task."""
     part = F.struct("segment", "total", "block")
     whole = parts.where(F.col("origin").isNull()).select("record", "type", "refers", "digest", F.lit(1).cast("long").alias("times"), F.array(part).alias("parts"))
     # equal segments of repeated rows become one, so an origin has as many as its block fills
@@ -239,7 +249,7 @@ def reassembled(parts: DataFrame, strict: bool = True) -> DataFrame:
     )
 
     def rows(batch):
-        for name, type_, refers, digest, times, own in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        for name, type_, refers, digest, times, own in zip(*((x.as_py() for x in batch.column(i)) for i in range(6)), strict=True):
             payload = why = None
             try:
                 block = own[0]["block"] if own[0]["segment"] is None else joined([(p["segment"], p["total"], p["block"]) for p in own])
@@ -248,10 +258,12 @@ def reassembled(parts: DataFrame, strict: bool = True) -> DataFrame:
                 if strict:
                     raise ValueError(f"{name}: {e}") from e
                 why = str(e)
+            made = of(payload)
             for _ in range(times or 1):
-                yield name, type_, refers, digest, payload, why
+                yield name, type_, refers, digest, *made, why
 
-    return map_arrow(whole.unionByName(split), rows, "record string, type string, refers string, digest string, payload binary, damaged string", lambda r: len(r[4] or b""))
+    schema = f"record string, type string, refers string, digest string, {columns}, damaged string"
+    return map_arrow(whole.unionByName(split), rows, schema, lambda r: sum(len(x) for x in r if isinstance(x, bytes)))
 
 
 def page_of(record: str, kind: str) -> Column:
@@ -260,16 +272,15 @@ def page_of(record: str, kind: str) -> Column:
     return F.when(F.col(record).rlike("^<urn:warc:[A-Z2-7]*:"), F.url_decode(inside)).try_cast(kind)
 
 
+def _sums(payload: bytes | None) -> tuple[str | None, int | None]:
+    return (None, None) if payload is None else (sha1_base32(payload), len(payload))
+
+
 def told(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page, payload_bytes, payload_digest, record_type and refers_to of every row
     of ``pages``, as read back from the archives that are written of them."""
-    got = reassembled(parsed(archives(pages, id_col, url_col, html_col)))
-
-    def rows(batch):
-        for name, type_, refers, digest, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            yield name, type_, refers, sha1_base32(payload) if payload is not None else digest, None if payload is None else len(payload)
-
-    read = stage(map_arrow(got.select("record", "type", "refers", "digest", "payload"), rows, "record string, type string, refers string, digest string, n long"), "read")
+    got = reassembled(parsed(archives(pages, id_col, url_col, html_col)), of=_sums, columns="own string, n long")
+    read = stage(got.select("record", "type", "refers", F.coalesce("own", "digest").alias("digest"), "n"), "read")
     kind = pages.schema[id_col].dataType.simpleString()
     sized = read.where("type = 'response'").select(F.col("record").alias("r"), F.col("n").alias("rn")).distinct()
     out = read.where("type = 'response'").withColumn("rn", F.col("n")).unionByName(
