@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidemark.config import Options
 from tidemark.plans import queries as q
 from tidemark.plans.merge import current, latest
 
@@ -51,5 +52,16 @@ def test_query_matches_sql(spark, name):
     assert got == want
 
 
+def test_state_counts_of_batches_above_the_freeze_limit(spark, tmp_path):
+    c = duckdb.connect()
+    n = 4 * Options().freeze_rows  # a quarter of it would be frozen for its size
+    c.execute(f"COPY (SELECT i AS event_id, i % 997 AS user_id, 'view' AS event_type, 0.5::DOUBLE AS value FROM range({n}) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    build, sql = q.QUERIES["state_counts"]
+    df = build(spark, str(tmp_path))
+    want = c.execute(sql)
+    assert [tuple(r) for r in df.select(*(d[0] for d in want.description)).collect()] == want.fetchall() == [(1, 997, 1, n // 4, n + 1, 1)]
+
+
 def test_names_match():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -253,6 +253,14 @@ def test_admission(make):
         t.put(id=3, marker="c")
 
 
+def test_a_whole_batch_is_written_and_then_frozen_at_the_limit(make):
+    t = make(options=Options(freeze_rows=3))
+    t.write_batch([("+I", {"id": i, "marker": "a"}) for i in range(2)])
+    assert [r.state for r in t.m.runs] == [OPEN]
+    t.write_batch([("+I", {"id": i, "marker": "b"}) for i in range(2)])
+    assert [(r.state, r.rows) for r in t.m.runs] == [(FROZEN, 2), (FROZEN, 2)]
+
+
 def test_second_writer_is_noticed(make, spark):
     t = make()
     other = Table.open(spark, t.store.root)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -38,6 +39,7 @@ KEY = ["user_id"]
 EVENTS = TableSpec(columns(user_id="bigint", event_id="bigint", event_type="string", value="double"), ("user_id",), buckets=4)
 PAIRS = TableSpec(columns(user_id="bigint", event_type="string", event_id="bigint", value="double"), ("user_id", "event_type"), ("event_type",), 2)
 CUSTOMERS = TableSpec(columns(c_custkey="bigint", c_name="string", last_status="string", last_price="double"), ("c_custkey",))
+HELD_OPEN = Options(freeze_rows=sys.maxsize, freeze_bytes=sys.maxsize)  #: a batch of any size stays open until the query itself freezes it
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -150,8 +152,9 @@ def _layered(spark, d) -> Table:
     return _shared(spark, d, "layered", lambda: _new_layered(spark, d))
 
 
-def _new_layered(spark, d, options: Options = Options()) -> Table:
-    """A quarter of the changelog each: two in the base, one in a run, one in an open batch."""
+def _new_layered(spark, d, options: Options = HELD_OPEN) -> Table:
+    """A quarter of the changelog each: two in the base, one in a run, one in an open batch.
+    These are the layers at any size, so no batch is frozen for its size."""
     t = _table(spark, EVENTS, options)
     for i, b in enumerate(_batches(spark, d, 4)):
         t.append(b, "_kind", ("event_id",))
